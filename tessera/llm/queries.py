@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, packing, token_files
-from .common import load
+from . import bpe, exact_dedup, html_text, language_id, packing, quality, token_files
+from .common import crc_bucket, load
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON_50K = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,10 +27,26 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(load(spark, sf_dir, "documents"), JSON_50K, PATTERN, end_id=2)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(load(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, load(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs), spans=False)
+    return found.select("doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
 OP8_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) h FROM documents)
 SELECT doc_id,
@@ -43,7 +59,7 @@ FROM t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_packing, op6_token_files, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op5_packing, op6_token_files, op7_html_text, op8_exact_dedup, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
