@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, html_text, language_id, packing, quality, token_files
+from . import bpe, exact_dedup, html_text, knn, language_id, packing, quality, suffix_dedup, token_files
 from .common import crc_bucket, load
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +19,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"), MULTI, PATTERN, digests_only=True)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), width=50)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), JSON_50K, PATTERN, capacity=1024, end_id=2)
 
@@ -58,9 +67,19 @@ FROM t
 """
 
 
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_packing, op6_token_files, op7_html_text, op8_exact_dedup, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_bpe, op2_top_k, op4_suffix_dedup, op5_packing, op6_token_files, op7_html_text, op8_exact_dedup, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_top_k": OP2_SQL, "op8_exact_dedup": OP8_SQL}
