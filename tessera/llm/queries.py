@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, html_text, knn, language_id, packing, quality, suffix_dedup, token_files
+from . import bpe, exact_dedup, html_text, knn, language_id, near_dedup, packing, quality, suffix_dedup, token_files
 from .common import crc_bucket, load
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(load(spark, sf_dir, "documents"), least=0.8)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), width=50)
 
@@ -78,7 +82,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_top_k, op4_suffix_dedup, op5_packing, op6_token_files, op7_html_text, op8_exact_dedup, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_suffix_dedup, op5_packing, op6_token_files, op7_html_text, op8_exact_dedup, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
