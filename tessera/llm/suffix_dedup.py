@@ -611,7 +611,7 @@ def _apply(width: int, with_text: bool):
             del rows
             s = _joined(np.concatenate(found)) if found else np.zeros(0, SPAN)
             keys, low = np.unique(s["key"], return_index=True)
-            where = dict(zip(keys.tolist(), zip(low.tolist(), [*low[1:].tolist(), len(s)], strict=True), strict=True))
+            where = dict(zip(keys.tolist(), zip(low.tolist(), np.append(low, len(s))[1:].tolist(), strict=True), strict=True))
             out: list[tuple] = []
             for text, own in texts.items():
                 n = len(text)
@@ -698,3 +698,16 @@ def brute_force(rows: list[tuple[int, bytes]], width: int = 50) -> dict[int, tup
         runs = int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum())
         out[doc] = (len(text), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def cut(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeats taken out of the texts; rows of which only blanks are left go, rows that had no more before stay.
+
+    All columns are kept as they are but the text. A text without repeats is
+    passed on untouched.
+    """
+    cut_rows = remove_repeats(docs, width, id_col, text_col, with_text=True).where("n_removed > 0")
+    cut_rows = cut_rows.select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__n"])
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.octet_length(docs[text_col]) == F.col("__n"))
+    joined = docs.join(cut_rows, same, "left").where(F.col("__kept").isNull() | (F.trim(F.regexp_replace("__kept", r"\s+", " ")) != ""))
+    return joined.select(*[F.coalesce("__kept", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
