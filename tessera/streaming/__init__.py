@@ -1,0 +1 @@
+"""Reserved: nothing in the engine's scope streams, every source is a bounded table."""
