@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import matching, text
 from .operators import facts, inclusion, profile, temporality
-from .plans import compiler, routing
+from .plans import anchor, compiler, grain, ontology, planner, routing
+from .plans.evidence import grounding_slice, parse_evidence
 from .plans.ir import Filter, Measure, Order, Request, RequestError, leash
 from .plans.model import Column, Evidence, Join, Metric, Model
 from .sources.catalog import STAR, Catalog, ForeignKey, Key, open_star
@@ -559,12 +560,124 @@ add(
 )
 
 
+# --------------------------------------------------- questions and ontology
+
+
+def _question_model() -> Model:
+    m = star_model(tuple(t for t in STAR if t != "events"))
+    m.column("customer", "c_mktsegment").samples = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    m.column("customer", "c_mktsegment").distinct = 5
+    for t, c, label in (("region", "r_name", "region name"), ("nation", "n_name", "nation name"), ("customer", "c_mktsegment", "market segment"), ("orders", "o_orderpriority", "priority")):
+        m.column(t, c).label = label
+    return m
+
+
+_QUESTIONS = ["revenue by region name", "order value per priority for building customers", "top 3 nation name by revenue in asia"]
+
+
+def _anchored(spark: SparkSession, folder: str) -> DataFrame:
+    m = _question_model()
+    index = anchor.build_index(m)
+    rows = []
+    for q in _QUESTIONS:
+        found = anchor.anchor(q, index)
+        rows += [(q, h.kind, h.table, h.name, h.value) for h in found.hits if h.kind in ("value", "metric") and h.score >= 0.95]
+    return spark.createDataFrame(rows, "question string, kind string, table_name string, name string, value string")
+
+
+add(
+    "anchor_hits", _anchored,
+    "SELECT * FROM (VALUES ('revenue by region name', 'metric', 'lineitem', 'tsr:capability/revenue', ''), ('order value per priority for building customers', 'metric', 'orders', 'tsr:capability/order-value', ''), "
+    "('order value per priority for building customers', 'value', 'customer', 'c_mktsegment', 'BUILDING'), ('top 3 nation name by revenue in asia', 'metric', 'lineitem', 'tsr:capability/revenue', ''), ('top 3 nation name by revenue in asia', 'value', 'region', 'r_name', 'ASIA')) t(question, kind, table_name, name, value)",
+)
+
+
+def _linked(spark: SparkSession, folder: str) -> DataFrame:
+    """A question's words become a request, which is compiled over the tree between its tables."""
+    m = _question_model()
+    request, _ = anchor.link(_QUESTIONS[1], m, anchor.build_index(m))
+    return compiler.compile_request(request, m, star(spark, folder).tables).frame.withColumn("value", F.round("value", 2))
+
+
+add("link_to_result", _linked, "SELECT o_orderpriority, ROUND(SUM(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    m = _question_model()
+
+    def plan(question: str, shown: str, issues: list[str]) -> Request:
+        value = "Asien" if not issues else "asia"  # the first try is refused, the second put right
+        return Request(measures=(Measure(capability=METRICS[0].iri, alias="value"),), group_by=(p("nation", "n_name"),), filters=(Filter(p("region", "r_name"), "=", value),))
+
+    answer = planner.ask("order value by nation name in asia", m, star(spark, folder).tables, plan)
+    if answer.frame is None:
+        raise RuntimeError(f"{answer.failed}: {answer.message}")
+    return answer.frame.withColumn("value", F.round("value", 2))
+
+
+add("pipeline_end_to_end", _asked, "SELECT n_name, ROUND(SUM(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1")
+
+
+def _grain(spark: SparkSession, folder: str) -> DataFrame:
+    ev = Evidence(("driver_id", "year"), "round")
+    m = Model(
+        {"results": [Column("driver_id"), Column("race_id"), Column("points")], "standings": [Column("driver_id"), Column("race_id"), Column("points", temporality="cumulative-snapshot", evidence=ev)], "drivers": [Column("id", key=True)], "races": [Column("race_id", key=True), Column("year"), Column("round")]},
+        [Join("results", "drivers", (("driver_id", "id"),)), Join("standings", "drivers", (("driver_id", "id"),)), Join("standings", "races", (("race_id", "race_id"),))],
+    )
+    a, b = p("results", "points"), p("standings", "points")
+    cases = {"max of events": (Measure(fn="MAX", property=a), ()), "sum of totals": (Measure(fn="SUM", property=b), ()), "sum of events": (Measure(fn="SUM", property=a), ()), "pinned": (Measure(fn="MAX", property=a), (Filter(p("races", "round"), "=", 9),))}
+    rows = []
+    for name, (measure, where) in cases.items():
+        r = grain.resolve(Request(measures=(measure,), filters=where), m)
+        rows.append((name, r.shape, r.request.measures[0].property, len(r.ambiguous)))
+    return spark.createDataFrame(rows, "case_name string, shape string, property string, ambiguous int")
+
+
+add("grain_resolve", _grain, "SELECT * FROM (VALUES ('max of events', 'max-or-latest', 'tsr:property/standings/points', 0), ('sum of totals', 'agg-over-events', 'tsr:property/results/points', 0), ('sum of events', 'agg-over-events', 'tsr:property/results/points', 0), ('pinned', 'as-of-event', 'tsr:property/results/points', 1)) t(case_name, shape, property, ambiguous)")
+
+
+def _evidence(spark: SparkSession, folder: str) -> DataFrame:
+    e = parse_evidence("big customers refers to MAX(c_acctbal); segment refers to c_mktsegment = 'BUILDING'; something odd", _question_model())
+    rows = [("filter", f.property, str(f.value)) for f in e.filters] + [("order", e.order.property, "desc" if e.order.descending else "asc")] + [("alias", v, k) for k, v in e.aliases.items()] + [("unread", "", u) for u in e.unread]
+    return spark.createDataFrame(rows, "kind string, property string, value string")
+
+
+add("link_evidence", _evidence, "SELECT * FROM (VALUES ('filter', 'tsr:property/customer/c_mktsegment', 'BUILDING'), ('order', 'tsr:property/customer/c_acctbal', 'desc'), ('alias', 'tsr:property/customer/c_acctbal', 'big customers'), ('alias', 'tsr:property/customer/c_mktsegment', 'segment'), ('unread', '', 'something odd')) t(kind, property, value)")
+add("superlative_grounded", lambda s, d: s.createDataFrame([anchor.superlative("the latest orders", _question_model(), ["orders", "customer"])], "table_name string, column_name string, direction string"), "SELECT 'orders' AS table_name, 'o_orderdate' AS column_name, 'desc' AS direction")
+add("grounding_slice", lambda s, d: s.createDataFrame([(i, t) for i, t in enumerate(grounding_slice(_question_model(), ["orders"]))], "i int, table_name string"), "SELECT * FROM (VALUES (0, 'orders'), (1, 'customer'), (2, 'lineitem')) t(i, table_name)")
+
+
+def _fragments(spark: SparkSession, folder: str) -> DataFrame:
+    m = star_model(("orders", "customer", "nation"))
+    m.joins = [*m.joins, Join("orders", "nation", (("o_orderkey", "n_nationkey"),), confidence=0.05, provenance="discovered")]
+    return ontology.fragments(spark, "star", ontology.tier(ontology.assemble(m))).groupBy("kind", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("onto_tiering", _fragments, "SELECT * FROM (VALUES ('class', 'asserted', CAST(3 AS BIGINT)), ('property', 'asserted', 14), ('relation', 'asserted', 2), ('relation', 'candidate', 1), ('metric', 'asserted', 2)) t(kind, tier, n)")
+
+
+def _invalid(spark: SparkSession, folder: str) -> DataFrame:
+    m = star_model(("orders", "customer"))
+    m.metrics = [Metric("tsr:capability/a", "SUM(orders.o_nothing)", ("orders",), "A"), Metric("tsr:capability/b", "AVG(orders.o_totalprice)", ("orders",), "B"), Metric("tsr:capability/c", "COUNT(orders.o_orderkey)", ("orders",), "B")]
+    return spark.createDataFrame(ontology.validate(ontology.assemble(m), m), "iri string, problem string")
+
+
+add("onto_validate", _invalid, "SELECT * FROM (VALUES ('tsr:capability/a', 'unknown column orders.o_nothing'), ('tsr:capability/c', 'label ''B'' is that of tsr:capability/b')) t(iri, problem)")
+
+
+def _changed(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = star_model(("orders", "customer")), star_model(("orders", "customer", "nation"))
+    b.column("orders", "o_totalprice").temporality = "cumulative-snapshot"
+    d = [x for x in ontology.diff(ontology.assemble(a), ontology.assemble(b)) if "nation" not in x[0]]
+    return spark.createDataFrame(d, "iri string, change string, key string")
+
+
+add("onto_diff", _changed, "SELECT 'tsr:property/orders/o_totalprice' AS iri, 'temporality' AS change, 'temporality' AS key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-
-
