@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffles whose results are written: Spark deletes their files once the driver has no use for them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id long, text): a null id becomes NULL_ID, a null text the empty text."""
     return docs.select(

@@ -38,7 +38,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_key, id_out, id_text, ints, materialize, mix, raw, slices
+from .common import by_key, id_out, id_text, ints, materialize, mix, raw, release, slices
 
 GRAM = 16
 BLOB = "key int, kind int, data binary"
@@ -656,7 +656,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     """
     if width < GRAM:
         raise ValueError(f"width has to be at least {GRAM}")
-    base = id_text(docs, id_col, text_col)
+    spark, base = docs.sparkSession, id_text(docs, id_col, text_col)
     total = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     groups = int(max(16, total // group_bytes))
     parts = max(16, groups // 4)
@@ -674,7 +674,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     if len(hot):
         contexts = contexts.mapInArrow(_scatter(width, groups, hot), BLOB)
     solved = deal(contexts, groups).mapInArrow(_solve(width, groups), BLOB)
-    spans = work.where(F.col("kind") == SPANS).unionByName(solved)
+    release(spark)
+    spans = work.where(F.col("kind") == SPANS).unionByName(materialize(solved, "spans"))
+    release(spark)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, spans array<struct<start: long, end: long>>" if with_text else "")
     out = deal(texts.unionByName(spans), groups).mapInArrow(_apply(width, with_text), schema)
     return out.select(id_out(), *out.columns[1:])
