@@ -42,7 +42,7 @@ _HEADER = re.compile(r"(?:^|[\s_-])(?:header|head|banner|masthead)(?:[\s_-]|$)",
 
 FEATURES = ["bias", "long", "words", "links", "stops", "heading", "item", "bad_tag", "bad_name", "comment", "header", "good_name", "in_article"]
 #: What the weights are before any page is seen, and the precision with which they are held.
-PRIOR = np.array([-0.8, 1.2, 0.5, -3.0, 1.0, 0.6, -0.6, -9.0, -7.0, -12.0, -6.0, 2.0, 5.0])
+PRIOR = np.array([0.6, 1.2, 0.5, -3.0, 1.0, 0.6, -0.6, -9.0, -7.0, -12.0, -6.0, 2.0, 5.0])
 HELD = np.array([1e3, 1, 1, 1, 1, 4, 4, 40, 40, 40, 40, 4, 1e9])
 
 

@@ -371,7 +371,7 @@ def test_language_spans():
     rng = random.Random(1)
     one, two = ["the", "and", "with", "other", "there"], ["que", "para", "los", "cuando", "ñandu"]
     model = language_id.fit([(" ".join(rng.choices(one, k=300)), "en"), (" ".join(rng.choices(two, k=300)), "es")])
-    label, _ = next(language_id.Labeller(model).label([" ".join([*rng.choices(one, k=30), *rng.choices(two, k=20), "the", *rng.choices(two, k=20)])]))
+    label, _ = next(language_id.Labeller(model, penalty=12.0).label([" ".join([*rng.choices(one, k=30), *rng.choices(two, k=20), "the", *rng.choices(two, k=20)])]))
     assert label.tolist() == [0] * 30 + [1] * 41
 
 
