@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import normalize
 from .compiler import check_formula
@@ -73,7 +73,7 @@ def assemble(model: Model) -> list[Node]:
         extra = [("domain", f"{model.prefix}:class/{j.source}"), ("range", f"{model.prefix}:class/{j.target}"), ("on", tuple("=".join(p) for p in j.on))]
         if j.confidence >= ASSERTED:
             extra.append(("cardinality", j.cardinality))
-        out.append(Node(f"{model.prefix}:relation/{j.name}", "relation", predicate(j.on[0][0]), confidence=j.confidence, provenance=j.provenance, extra=tuple(extra)))
+        out.append(Node(f"{model.prefix}:relation/{j.name}.{'+'.join(b for _, b in j.on)}", "relation", predicate(j.on[0][0]), confidence=j.confidence, provenance=j.provenance, extra=tuple(extra)))
     seen: dict[str, int] = {}
     for m in model.metrics:
         seen[m.iri] = seen.get(m.iri, 0) + 1
@@ -122,6 +122,25 @@ def validate(nodes: list[Node], model: Model) -> list[tuple[str, str]]:
     return out
 
 
+def dry_run(metric: Metric, model: Model, tables: dict[str, DataFrame]) -> list[str]:
+    """What Spark's analyzer says of a formula over the tables it names; nothing is run.
+
+    Tables without a join between them are not multiplied out: only their
+    names and types matter here. A metric with a unit has to be a number.
+    """
+    names = [t for t in metric.tables if t in tables]
+    if not names:
+        return ["no table to resolve it against"]
+    frame = tables[names[0]].limit(0).alias(names[0])
+    for t in names[1:]:
+        frame = frame.join(tables[t].limit(0).alias(t), F.lit(False))
+    try:
+        kind = frame.agg(F.expr(metric.formula).alias("value")).schema["value"].dataType
+    except Exception as e:  # noqa: BLE001 - whatever the analyzer objects to
+        return [str(e).split("\n")[0][:200]]
+    return [f"unit {metric.unit} needs a number, not {kind.simpleString()}"] if metric.unit and not isinstance(kind, T.NumericType) else []
+
+
 def prune_alt_labels(nodes: list[Node]) -> list[Node]:
     """Other labels go where another node has them for its own."""
     owners: dict[str, set[str]] = {}

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
 from . import anchor, compiler, grain, routing
 from .evidence import menu
-from .ir import Request, RequestError, leash
+from .ir import Request, RequestError, leash, parse
 from .model import Model
 
 #: A planner gets the question, the menu and the issues of its last try, and returns a request or None.
@@ -27,6 +27,40 @@ class Answer:
     trace: list[str] = field(default_factory=list)
 
 
+def ground_request(request: Request, model: Model) -> tuple[Request | None, list[str]]:
+    """A request from outside, cut down to what exists: unknown parts go and are reported; None if nothing is left."""
+    notes: list[str] = []
+
+    def known(iri: str) -> bool:
+        try:
+            ok = model.column(*parse(iri)) is not None
+        except RequestError:
+            ok = False
+        if not ok:
+            notes.append(f"dropped {iri}")
+        return ok
+
+    parts = {
+        "select": tuple(i for i in request.select if known(i)), "group_by": tuple(i for i in request.group_by if known(i)),
+        "measures": tuple(m for m in request.measures if (known(m.property) if m.property else model.metric(m.capability) is not None)),
+        "filters": tuple(f for f in request.filters if known(f.property)), "order_by": tuple(o for o in request.order_by if not o.property or known(o.property)),
+    }
+    if not parts["select"] and not parts["measures"]:
+        return None, notes
+    return replace(request, **parts), notes
+
+
+def sql_fallback(question: str, shown: str, writer: Callable[[str, str], str], tables: dict[str, DataFrame]) -> Answer:
+    """Free SQL from a writer over the tables of a slice; analyzed before it is returned."""
+    out = Answer(trace=["free SQL"])
+    try:
+        out.sql = writer(question, shown)
+        out.frame = next(iter(tables.values())).sparkSession.sql(out.sql)
+    except Exception as e:  # noqa: BLE001
+        out.failed, out.message = "sql", f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+    return out
+
+
 def rule_planner(model: Model, index: anchor.Index) -> Planner:
     """Plans by the words of the question alone."""
     return lambda question, shown, issues: None if issues else anchor.link(question, model, index)[0]

@@ -8,7 +8,7 @@ import pytest
 
 from tessera import queries
 from tessera.functions import matching, text
-from tessera.plans import anchor, grain, ontology
+from tessera.plans import anchor, grain, ontology, planner
 from tessera.plans.ir import Filter, Measure, Order, Request, RequestError
 from tessera.plans.model import Column, Evidence, Join, Metric, Model
 from tessera.sources.catalog import STAR
@@ -135,3 +135,50 @@ def test_directions():
 def test_ordered_match(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
     assert matching.match_ordered(a, a, ["a"]) and not matching.match_ordered(a, spark.createDataFrame([(1, "y"), (2, "x")], "a int, b string"), ["a"])
+
+
+def test_metric_dry_run(spark):
+    m = shop()
+    tables = {"orders": spark.createDataFrame([(1, 2.0, "open")], "id int, total double, status string")}
+    assert ontology.dry_run(m.metrics[0], m, tables) == []
+    assert ontology.dry_run(Metric("x", "SUM(orders.nope)", ("orders",)), m, tables)
+    assert "needs a number" in ontology.dry_run(Metric("x", "MAX(orders.status)", ("orders",), unit="EUR"), m, tables)[0]
+
+
+def test_ground_request():
+    m = shop()
+    got, notes = planner.ground_request(Request(select=(m.iri("orders", "total"), m.iri("orders", "nope"))), m)
+    assert got.select == (m.iri("orders", "total"),) and len(notes) == 1
+    assert planner.ground_request(Request(select=("x/y",)), m)[0] is None
+    request, _ = anchor.link("average total by status", m, anchor.build_index(m))
+    assert request.measures[0].fn == "AVG" and request.group_by == (m.iri("orders", "status"),)
+
+
+def test_build_and_harness(spark, tmp_path):
+    from tessera.operators import harness
+    from tessera.plans import build
+    from tessera.sources.catalog import Catalog, ForeignKey, Key
+
+    users = spark.createDataFrame([(i, f"u{i}") for i in range(4)], "id int, name string")
+    cal = spark.createDataFrame([(d, 2020, d) for d in range(12)], "day int, season_year int, round int")
+    rows = [(u, d, 5 * (d // 2), d % 3, "ab"[d % 2]) for u in range(4) for d in range(12)]
+    scores = spark.createDataFrame(rows, "user_id int, day int, points int, goals int, side string")
+    c = Catalog(spark, {"users": users, "cal": cal, "scores": scores}, [Key("users", ("id",)), Key("cal", ("day",))], [ForeignKey("scores", "user_id", "users", "id")])
+    b = build.build(c)
+    assert b.status == "success" and not b.failures
+    assert b.model.column("scores", "points").temporality == "cumulative-snapshot" and b.model.column("scores", "goals").temporality == ""
+    assert b.model.column("scores", "side").samples == ("a", "b") and any(j.target == "users" and j.confidence == 1 for j in b.model.joins)
+    again = build.build(c, freeze=[ontology.Node("tsr:class/users", "class", "People", ("members",))])
+    assert next(n for n in again.data.asserted if n.iri == "tsr:class/users").label == "People"
+    noted = ontology.Node("p", "property", "P", comment="points of a race", extra=(("temporality", "cumulative-snapshot"),))
+    assert build.warnings([noted]) and not build.warnings([ontology.Node("p", "property", "P", comment="running points", extra=noted.extra)])
+
+    users.createOrReplaceTempView("h_users")
+    items = [harness.Item("1", "q", "SELECT name FROM h_users", "x"), harness.Item("2", "q", "SELECT count(*) FROM h_users", "x"), harness.Item("3", "q", "SELECT nope FROM h_users", "y")]
+    log = tmp_path / "log.jsonl"
+    got = harness.run_system(spark, items, lambda q: ("SELECT name FROM h_users", 10), log)
+    assert [r.strict for r in got] == [True, False, False] and "nope" in got[2].error
+    with pytest.raises(FileExistsError):
+        harness.run_system(spark, items, lambda q: ("", 0), log)
+    s = matching.summarize(harness.load_log(spark, str(log))).collect()[0]
+    assert (s["n"], s["strict"], s["tokens_per_correct"]) == (3, 1, 20.0)
