@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -75,6 +76,40 @@ def id_out(name: str = "id", alias: str = "doc_id"):
     return F.when(F.col(name) != NULL_ID, F.col(name)).alias(alias)
 
 
+_forget: list[Callable[[], None]] = []
+_owner: list[str] = []
+
+
+def remembered(clear: Callable[[], None]) -> None:
+    """Register what empties a module's memory in a worker."""
+    _forget.append(clear)
+
+
+def claim(name: str) -> None:
+    """Called first by a task: what another operator kept in this worker goes, so stages in a row do not add up."""
+    if _owner and _owner[0] != name:
+        for clear in _forget:
+            clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library keeps its pages
+            pass
+    _owner[:] = [name]
+
+
+def portions(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``most`` characters each."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_bucket, id_out, id_text, ints, raw, slices
+from .common import claim, crc_bucket, id_out, id_text, ints, raw, remembered, slices
 
 #: First code point and name of each script range (fixed values, Unicode blocks); "" is no one script.
 SCRIPTS = [
@@ -96,7 +96,7 @@ class _Chunks(dict):
 class Labeller:
     """Scores and labels whole texts; keeps what it has scored, up to ``most`` chunks."""
 
-    def __init__(self, model: Model, penalty: float = 8.0, most: int = 800_000):
+    def __init__(self, model: Model, penalty: float = 8.0, most: int = 400_000):
         self.model, self.penalty, self.most = model, penalty, most
         self._reset()
 
@@ -198,10 +198,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 _labellers: dict[str, Labeller] = {}
+remembered(_labellers.clear)
 
 
 def _labeller(key: str, model: Model, penalty: float) -> Labeller:
     """The one of this worker, so that scored words outlive a task."""
+    claim("language")
     if key not in _labellers:
         _labellers.clear()
         _labellers[key] = Labeller(model, penalty)
@@ -259,7 +261,7 @@ def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def step(batches):
         m = held.value
         labeller = _labeller(key, m, penalty)
-        for b in slices(batches, 4096):
+        for b in slices(batches, 1024):
             texts = [(t or b"").decode("utf-8", "replace") for t in raw(b.column(at))] if m.langs else []
             good = []
             for label, size in labeller.label(texts):

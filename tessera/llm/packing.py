@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import id_out, id_text, ints, materialize, raw, slices
+from .common import claim, id_out, id_text, ints, materialize, raw, slices
 from .token_ids import encoder
 
 
@@ -70,6 +70,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id
     """id, piece, start, length, ids_crc32 of each piece, with its task and its rank there among pieces of its length."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         encode, end = encoder(vocabulary, pattern), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in slices(batches, 512):

@@ -38,7 +38,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_key, id_out, id_text, ints, materialize, mix, raw, release, slices
+from .common import by_key, claim, id_out, id_text, ints, materialize, mix, portions, raw, release, slices
 
 GRAM = 16
 BLOB = "key int, kind int, data binary"
@@ -250,6 +250,7 @@ def _text_blobs(groups: int, most: int = 8 << 20):
     """Texts to their groups: distinct texts of about ``most`` bytes at a time, each with the ids that have it."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix")
         held: dict[bytes, list[int]] = {}
         size = 0
 
@@ -303,6 +304,7 @@ def _entries(width: int, parts: int, groups: int, most: int = 1 << 20):
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix")
         held, n = [], 0
 
         def full():
@@ -326,19 +328,19 @@ def _entries(width: int, parts: int, groups: int, most: int = 1 << 20):
             return _rows(rows + [(p, LONE, _narrow(e[cut[p] : cut[p + 1]])) for p in range(parts) if cut[p] < cut[p + 1]])
 
         for b in slices(batches, 256):
-            texts = [t for t in dict.fromkeys(raw(b.column("text"))) if len(t) >= width]
-            if not texts:
-                continue
-            a = anchors(b"".join(texts), width)
-            size = np.array([len(t) for t in texts])
-            begin = np.repeat(np.cumsum(size) - size, size)[: len(a)]
-            owner = np.repeat(np.arange(len(texts)), size)[: len(a)]
-            pick = np.arange(len(a)) - begin <= size[owner] - width  # windows inside one text
-            pick[1:] &= (a[1:] != a[:-1]) | (owner[1:] != owner[:-1]) | ~pick[:-1]
-            e = np.empty(int(pick.sum()), ENTRY)
-            e["h"], e["tag"] = a[pick], np.array([_key(t) & TAG for t in texts], np.uint64)[owner[pick]]
-            held.append(e)
-            n += len(e)
+            unique = [t for t in dict.fromkeys(raw(b.column("text"))) if len(t) >= width]
+            for lo, hi in portions(unique):
+                texts = unique[lo:hi]
+                a = anchors(b"".join(texts), width)
+                size = np.array([len(t) for t in texts])
+                begin = np.repeat(np.cumsum(size) - size, size)[: len(a)]
+                owner = np.repeat(np.arange(len(texts)), size)[: len(a)]
+                pick = np.arange(len(a)) - begin <= size[owner] - width  # windows inside one text
+                pick[1:] &= (a[1:] != a[:-1]) | (owner[1:] != owner[:-1]) | ~pick[:-1]
+                e = np.empty(int(pick.sum()), ENTRY)
+                e["h"], e["tag"] = a[pick], np.array([_key(t) & TAG for t in texts], np.uint64)[owner[pick]]
+                held.append(e)
+                n += len(e)
             if n >= most:
                 yield full()
                 held, n = [], 0
@@ -563,7 +565,7 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(o["h"].astype(np.int64)), pa.array(o["n"])], ["h", "n"])
 
 
-def _solve(width: int, groups: int, most: int = 3 << 20):
+def _solve(width: int, groups: int, most: int = 1 << 20):
     """The suffix arrays of a bucket, whole anchors at a time; spans go home."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import id_out, id_text, ints, raw, shared_path, slices
+from .common import claim, id_out, id_text, ints, raw, shared_path, slices
 from .token_ids import encoder
 
 BLOCK, LANES = 256, 4
@@ -140,6 +140,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         encode, end = encoder(vocabulary, pattern), np.array([end_id], "<u4").tobytes()
         part, shard, before, size, held, names, lengths = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 

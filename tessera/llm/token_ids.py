@@ -7,10 +7,11 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
+from .common import remembered
 from .pretokens import ChunkEncoder, mapped
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> ChunkEncoder:
     """Whole text to packed ids, one for each worker and vocabulary.
 
@@ -24,3 +25,6 @@ def encoder(path: str, pattern: str) -> ChunkEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     return ChunkEncoder(pattern, pretoken)
+
+
+remembered(encoder.cache_clear)
