@@ -12,9 +12,9 @@ Copies (same words) are one document from the start. A bucket links its
 members to its least one only, so a bucket of n gives n - 1 candidates, not
 n * n. Where the exact comparison leaves members of a bucket in different
 classes, pairs that were not compared may still be links: such buckets are
-looked at again, all members against those outside their class, by the
-signatures' estimate first, in blocks where a bucket is large. So no link that
-a band shows is lost.
+looked at again with their texts, all members against those outside the
+largest class, in blocks where a bucket is large; the comparisons are made in
+place and only links leave. So no link that a band shows is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_key, id_out, id_text, ints, materialize, mix, raw, slices
+from .common import by_key, claim, id_out, id_text, ints, materialize, mix, portions, raw, release, slices
 from .components import components
 
 WORDS = 5
@@ -175,9 +175,17 @@ def counted(h: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return h[at], who[at], np.diff(np.append(at, len(h)))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], pa.RecordBatch]]:
+    """Texts of about a million characters at a time, with their rows."""
     for b in slices(batches, 256):
         texts = [t.decode("utf-8", "replace") for t in raw(b.column("text"))]
+        for lo, hi in portions(texts):
+            yield texts[lo:hi], b.slice(lo, hi - lo)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near")
+    for texts, b in _few(batches):
         h, who, digests = shingles(texts)
         h, who, n = counted(h, who)
         sig, has = dart_signatures(h, n.astype(float), who, len(texts))
@@ -230,32 +238,47 @@ def _verified(pairs: DataFrame, base: DataFrame, least: float) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(step, "a long, b long")
 
 
-def _across(least: float):
-    """Pairs of one bucket in different classes whose signatures agree nearly enough."""
+def _across(least: float, slack: float):
+    """Links of one bucket between different classes; pairs are compared here and only links leave.
+
+    The estimate of the signatures comes first, and a pair is compared in the
+    first of its bands only. A pair that links already found connect is left.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, "bucket"):
             node = np.array([r["node"] for r in rows], np.int64)
             label = np.array([r["label"] for r in rows], np.int64)
             side = np.array([r["side"] for r in rows])
+            texts, band = [r["text"].encode("utf-8", "replace") for r in rows], rows[0]["band"]
             s = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, K)
-            big = np.unique(label, return_counts=True)
-            big = big[0][big[1].argmax()]
-            a, b = [], []
-            for i in range(len(node)):
-                if label[i] == big:
-                    continue  # pairs within the largest class need no look, others are met from their other member
-                other = (label != label[i]) & ((label == big) | (node > node[i])) & ((side != side[i]) | (side < 0))
-                at = np.flatnonzero(other)
-                at = at[(s[at] == s[i]).sum(axis=1) >= least * K]
-                a += np.minimum(node[at], node[i]).tolist()
-                b += np.maximum(node[at], node[i]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["a", "b"])
+            del rows
+            known, size = np.unique(label, return_counts=True)
+            big = known[size.argmax()]
+            words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            links = []
+            for i in np.flatnonzero(label != big).tolist():  # pairs are met from a member outside the largest class
+                near = np.flatnonzero((label != label[i]) & ((label == big) | (node > node[i])) & ((side != side[i]) | (side < 0)))
+                same = s[near] == s[i]
+                near, same = near[close := same.sum(axis=1) >= slack * K], same[close]
+                near = near[same.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+                for j in near.tolist():
+                    if label[i] == label[j]:
+                        continue
+                    for x in (i, j):
+                        if x not in words:
+                            words[x] = _one(texts[x])
+                    if similarity(words[i], words[j]) >= least:
+                        links.append((int(node[i]), int(node[j])))
+                        old, new = (label[j], big) if label[i] == big else (label[i], label[j])  # the largest class keeps its name
+                        label[label == old] = new
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return step
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 1_000) -> DataFrame:
+def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 500) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (least id of its class), kept.
 
     Classes are the connected components of similarity ``least`` or more:
@@ -272,7 +295,7 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     reps = materialize(worded.groupBy("digest").agg(F.min("id").alias("rep")), "representatives")
     firsts = signed.join(reps.select(F.col("rep").alias("id"), F.col("digest").alias("own")), "id", "inner").where(F.col("digest") == F.col("own"))
     firsts = materialize(firsts.select(F.col("id").alias("node"), "bands", "sketch").dropDuplicates(["node"]), "firsts")
-    members = firsts.select("node", F.explode("bands").alias("bucket"))
+    members = firsts.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(buckets, "buckets")
     inside = members.join(buckets, "bucket")
@@ -285,24 +308,23 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     placed = inside.where("n > 2").select("node", "bucket", "n").join(labels, "node", "left").select("node", "bucket", "n", label)
     torn = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x <> y").select("bucket", "n")
     torn = materialize(torn, "torn")
-    again = members.join(torn, "bucket").join(labels, "node", "left").join(firsts.select("node", "sketch"), "node")
+    again = members.join(torn, "bucket").join(base.withColumnRenamed("id", "node"), "node").join(labels, "node", "left").join(firsts.select("node", "sketch"), "node")
     # a bucket beyond a block meets as pairs of blocks (i, j); i = j compares within a block
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    again = again.select("node", "bucket", label, "sketch", parts.alias("parts"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    again = again.select("node", "bucket", "band", "text", label, "sketch", parts.alias("parts"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     again = again.select(
-        "node", "label", "sketch",
+        "node", "label", "sketch", "band", "text",
         F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"),
         F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"),
     )
     # four standard errors of the estimate below the threshold
     slack = least - 4 * float(np.sqrt(least * (1 - least) / K))
-    found = again.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(slack), "a long, b long").distinct()
-    found = materialize(found, "second-look")
-    if not found.isEmpty():
-        more = materialize(_verified(found, base, least).distinct(), "verified")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    more = again.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(least, slack), "a long, b long")
+    more = materialize(more, "second-look")
+    release(docs.sparkSession)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     of = reps.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("class"))
     out = signed.select("id", "digest").join(of, "digest", "left").select("id", F.coalesce("class", "id").alias("class"))
