@@ -195,10 +195,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(ROWS):
                 x = mix(x ^ sig[:, i * ROWS + j])
             band[:, i] = x
-        sketch = (mix(sig) >> np.uint64(56)).astype(np.uint8)
         offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
         bands = pa.ListArray.from_arrays(offsets, pa.array(band.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.binary()), bands, pa.array([s.tobytes() for s in sketch], pa.binary())], ["id", "digest", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.binary()), bands], ["id", "digest", "bands"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -238,11 +237,33 @@ def _verified(pairs: DataFrame, base: DataFrame, least: float) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(step, "a long, b long")
 
 
-def _across(least: float, slack: float):
+def _elements(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number and owner of every (shingle, how many times before), so that the weighted Jaccard of two texts is that of sets."""
+    found = [[], [], []]
+    at = 0
+    for lo, hi in portions(texts):
+        h, who, n = counted(*shingles([t.decode("utf-8", "replace") for t in texts[lo:hi]])[:2])
+        for x, y in zip(found, (h, who + at, n), strict=True):
+            x.append(y)
+        at += hi - lo
+    h, owner, n = map(np.concatenate, found)
+    shingle = np.unique(h, return_inverse=True)[1].astype(np.int64)
+    most = int(n.max(initial=1))
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    code = np.repeat(shingle, n) * most + nth
+    if most > 1:
+        code = np.unique(code, return_inverse=True)[1]
+    return code.astype(np.int32), np.repeat(owner, n)
+
+
+def _across(least: float):
     """Links of one bucket between different classes; pairs are compared here and only links leave.
 
-    The estimate of the signatures comes first, and a pair is compared in the
-    first of its bands only. A pair that links already found connect is left.
+    A pair is compared in the first bucket it shares only, known by the whole
+    band hashes; one pass over the elements of all members compares a member
+    with every other one. What is left out cannot be a link or is not needed: pairs
+    whose numbers of shingles alone keep them below ``least``, and pairs that
+    links already found connect.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,27 +272,35 @@ def _across(least: float, slack: float):
             label = np.array([r["label"] for r in rows], np.int64)
             side = np.array([r["side"] for r in rows])
             texts, band = [r["text"].encode("utf-8", "replace") for r in rows], rows[0]["band"]
-            s = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, K)
+            bands = np.array([r["bands"] for r in rows], np.int64)
             del rows
             known, size = np.unique(label, return_counts=True)
+            if len(known) == 1:
+                continue
             big = known[size.argmax()]
-            words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            element, owner = _elements(texts)
+            del texts
+            total = np.bincount(owner, minlength=len(node))
+            first = np.cumsum(total) - total
+            on = np.zeros(int(element.max(initial=-1)) + 1, bool)
             links = []
             for i in np.flatnonzero(label != big).tolist():  # pairs are met from a member outside the largest class
-                near = np.flatnonzero((label != label[i]) & ((label == big) | (node > node[i])) & ((side != side[i]) | (side < 0)))
-                same = s[near] == s[i]
-                near, same = near[close := same.sum(axis=1) >= slack * K], same[close]
-                near = near[same.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-                for j in near.tolist():
+                meets = (label != label[i]) & ((label == big) | (node > node[i])) & ((side != side[i]) | (side < 0))
+                meets &= np.minimum(total, total[i]) >= least * (1 - 1e-9) * np.maximum(total, total[i])
+                near = np.flatnonzero(meets)
+                near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
+                if not len(near):
+                    continue
+                own = element[first[i] : first[i] + total[i]]
+                on[own] = True
+                both = np.add.reduceat(on[element], first, dtype=np.int64)
+                on[own] = False
+                for j in near[both[near] / (total[near] + total[i] - both[near]) >= least].tolist():
                     if label[i] == label[j]:
                         continue
-                    for x in (i, j):
-                        if x not in words:
-                            words[x] = _one(texts[x])
-                    if similarity(words[i], words[j]) >= least:
-                        links.append((int(node[i]), int(node[j])))
-                        old, new = (label[j], big) if label[i] == big else (label[i], label[j])  # the largest class keeps its name
-                        label[label == old] = new
+                    links.append((int(node[i]), int(node[j])))
+                    old, new = (label[j], big) if label[i] == big else (label[i], label[j])  # the largest class keeps its name
+                    label[label == old] = new
             a, b = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -290,11 +319,11 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     and count as one document. Other columns are ignored.
     """
     base = id_text(docs, id_col, text_col)
-    signed = materialize(base.mapInArrow(_signed, "id long, digest binary, bands array<long>, sketch binary"), "signatures")
+    signed = materialize(base.mapInArrow(_signed, "id long, digest binary, bands array<long>"), "signatures")
     worded = signed.where(F.col("digest").isNotNull())
     reps = materialize(worded.groupBy("digest").agg(F.min("id").alias("rep")), "representatives")
     firsts = signed.join(reps.select(F.col("rep").alias("id"), F.col("digest").alias("own")), "id", "inner").where(F.col("digest") == F.col("own"))
-    firsts = materialize(firsts.select(F.col("id").alias("node"), "bands", "sketch").dropDuplicates(["node"]), "firsts")
+    firsts = materialize(firsts.select(F.col("id").alias("node"), "bands").dropDuplicates(["node"]), "firsts")
     members = firsts.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(buckets, "buckets")
@@ -308,19 +337,17 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     placed = inside.where("n > 2").select("node", "bucket", "n").join(labels, "node", "left").select("node", "bucket", "n", label)
     torn = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x <> y").select("bucket", "n")
     torn = materialize(torn, "torn")
-    again = members.join(torn, "bucket").join(base.withColumnRenamed("id", "node"), "node").join(labels, "node", "left").join(firsts.select("node", "sketch"), "node")
+    again = members.join(torn, "bucket").join(base.withColumnRenamed("id", "node"), "node").join(labels, "node", "left").join(firsts.select("node", "bands"), "node")
     # a bucket beyond a block meets as pairs of blocks (i, j); i = j compares within a block
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    again = again.select("node", "bucket", "band", "text", label, "sketch", parts.alias("parts"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    again = again.select("node", "bucket", "band", "text", label, "bands", parts.alias("parts"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     again = again.select(
-        "node", "label", "sketch", "band", "text",
+        "node", "label", "bands", "band", "text",
         F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"),
         F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"),
     )
-    # four standard errors of the estimate below the threshold
-    slack = least - 4 * float(np.sqrt(least * (1 - least) / K))
-    more = again.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(least, slack), "a long, b long")
+    more = again.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(least), "a long, b long")
     more = materialize(more, "second-look")
     release(docs.sparkSession)
     if not more.isEmpty():

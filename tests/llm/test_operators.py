@@ -271,6 +271,27 @@ def test_near_dedup_chains_and_blocks(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(docs, block=3).collect()} == near_by_hand(rows)
 
 
+def test_near_dedup_second_look_knows_shared_bands_by_their_whole_hash(spark):
+    """A link met only in the second look, in whose signatures 8 bits of each dart agree in a band before the first shared one."""
+    rng = random.Random(347)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    base, docs = [word() for _ in range(150)], []
+    for _ in range(13):
+        words = base[:]
+        for at in rng.sample(range(0, 150, 5), 3):
+            words[at] = word()
+        docs.append(" ".join(words))
+    rows = [*enumerate(docs[1:]), (12, " ".join(base)), (13, docs[0])]
+    h, who, n = near_dedup.counted(*near_dedup.shingles([t for _, t in rows])[:2])
+    sig, _ = near_dedup.dart_signatures(h, n.astype(float), who, len(rows))
+    bits = (near_dedup.mix(sig) >> np.uint64(56)).astype(np.uint8)
+    real, chance = ((x[12] == x[13]).reshape(near_dedup.BANDS, near_dedup.ROWS).all(axis=1) for x in (sig, bits))
+    assert real.any() and chance.argmax() < real.argmax()
+    want = near_by_hand(rows)
+    assert want[13] == want[12] == 0
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 400, dtype=np.uint64)
