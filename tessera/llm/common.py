@@ -71,6 +71,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def text_mark(text_col: str = "text"):
+    """SHA-256 of a text's bytes, null as empty: with the id it names a row, whatever else has that id."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def id_out(name: str = "id", alias: str = "doc_id"):
     """The identifier column of a result, NULL_ID turned back to null."""
     return F.when(F.col(name) != NULL_ID, F.col(name)).alias(alias)

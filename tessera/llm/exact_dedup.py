@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NULL_ID, by_key, id_out, ints, materialize, raw, slices
+from .common import NULL_ID, by_key, id_out, ints, materialize, raw, slices, text_mark
 
 #: What normalising deletes: the characters of [\x20\x09-\x0D].
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -32,17 +32,19 @@ RUN = "key int, run binary"
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 2048):
         found = [hashlib.sha256(t.translate(None, BLANKS)).digest() for t in raw(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(found, pa.binary())], ["id", "n", "digest"])
+        marks = [b.column("mark")] if "mark" in b.schema.names else []
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(found, pa.binary()), *marks], ["id", "n", "digest", "mark"][: 3 + len(marks)])
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest): code points of the text and SHA-256 of the text without blanks."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """(id, n, digest): code points of the text and SHA-256 of the text without blanks; ``marked``: and of the text itself (mark)."""
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *[text_mark(text_col).alias("mark")] * marked,
     )
-    return rows.mapInArrow(_digests, "id long, n long, digest binary")
+    return rows.mapInArrow(_digests, "id long, n long, digest binary" + ", mark binary" * marked)
 
 
 def merge(runs: list[np.ndarray]) -> np.ndarray:
@@ -151,6 +153,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops."""
-    ids = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__kept"]), "left_semi")
+    """``docs`` without the rows that ``exact_groups`` drops; a row is known by its id and text."""
+    found = materialize(digests(docs, id_col, text_col, marked=True), "digests")
+    kept = found.join(best_ids(found), "digest").where("id = keep_id").select(id_out("id", "__kept"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]) & (text_mark(text_col) == kept["__mark"]), "left_semi")

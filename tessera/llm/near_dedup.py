@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_key, claim, id_out, id_text, ints, materialize, mix, portions, raw, release, slices
+from .common import by_key, claim, id_out, id_text, ints, materialize, mix, portions, raw, release, slices, text_mark
 from .components import components
 
 WORDS = 5
@@ -197,7 +197,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band[:, i] = x
         offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
         bands = pa.ListArray.from_arrays(offsets, pa.array(band.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.binary()), bands], ["id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(digests, pa.binary()), bands], ["id", "mark", "digest", "bands"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -213,7 +213,7 @@ def _one(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, n
 
 
-def _verified(pairs: DataFrame, base: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough.
 
     The side that many pairs share, b, is joined second, so rows come sorted
@@ -232,8 +232,8 @@ def _verified(pairs: DataFrame, base: DataFrame, least: float) -> DataFrame:
             own = np.flatnonzero(good)
             yield pa.RecordBatch.from_arrays([pa.array(ints(batch.column(c))[own], pa.int64()) for c in ("a", "b")], ["a", "b"])
 
-    left = base.select(F.col("id").alias("a"), F.col("text").alias("left"))
-    right = base.select(F.col("id").alias("b"), F.col("text").alias("right"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(step, "a long, b long")
 
 
@@ -307,37 +307,36 @@ def _across(least: float):
     return step
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 500) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (least id of its class), kept.
+def _groups(docs: DataFrame, least: float, id_col: str, text_col: str, block: int) -> DataFrame:
+    """(id, mark, class, kept) for each row of ``docs``.
 
-    Classes are the connected components of similarity ``least`` or more:
-    weighted Jaccard over the multisets of five-word shingles, exact for every
-    candidate; a pair at 0.8 is a candidate with probability above 0.99997.
-    Null, empty and wordless texts are never near anything. Copies share a
-    class. Rows repeated with one id are one document with that id. Ties
-    (which member stands for a class) go to the least id; null ids come last
-    and count as one document. Other columns are ignored.
+    A node is a text's words (digest), numbered once; ids only choose what
+    stands for a class, so texts that share an id stay apart.
     """
-    base = id_text(docs, id_col, text_col)
-    signed = materialize(base.mapInArrow(_signed, "id long, digest binary, bands array<long>"), "signatures")
+    base = id_text(docs, id_col, text_col).withColumn("mark", text_mark("text"))
+    signed = materialize(base.mapInArrow(_signed, "id long, mark binary, digest binary, bands array<long>"), "signatures")
     worded = signed.where(F.col("digest").isNotNull())
-    reps = materialize(worded.groupBy("digest").agg(F.min("id").alias("rep")), "representatives")
-    firsts = signed.join(reps.select(F.col("rep").alias("id"), F.col("digest").alias("own")), "id", "inner").where(F.col("digest") == F.col("own"))
-    firsts = materialize(firsts.select(F.col("id").alias("node"), "bands").dropDuplicates(["node"]), "firsts")
+    reps = worded.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "first.id", "first.mark"), "representatives")
+    firsts = signed.select("id", "mark", "bands").join(reps.select("node", "id", "mark"), ["id", "mark"])
+    firsts = materialize(firsts.select("node", "bands").dropDuplicates(["node"]), "firsts")
     members = firsts.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(buckets, "buckets")
     inside = members.join(buckets, "bucket")
-    pairs = inside.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = materialize(inside.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
 
-    links = materialize(_verified(pairs, base, least).distinct(), "verified")
+    # one text for each node that is a candidate, however many rows repeat it
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "id", "mark"), "node")
+    texts = materialize(base.join(needed, ["id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    links = materialize(_verified(pairs, texts, least).distinct(), "verified")
     labels = components(links)
 
     label = F.coalesce("label", "node").alias("label")
     placed = inside.where("n > 2").select("node", "bucket", "n").join(labels, "node", "left").select("node", "bucket", "n", label)
     torn = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x <> y").select("bucket", "n")
     torn = materialize(torn, "torn")
-    again = members.join(torn, "bucket").join(base.withColumnRenamed("id", "node"), "node").join(labels, "node", "left").join(firsts.select("node", "bands"), "node")
+    again = members.join(torn, "bucket").join(texts, "node").join(labels, "node", "left").join(firsts.select("node", "bands"), "node")
     # a bucket beyond a block meets as pairs of blocks (i, j); i = j compares within a block
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -353,12 +352,33 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    of = reps.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("class"))
-    out = signed.select("id", "digest").join(of, "digest", "left").select("id", F.coalesce("class", "id").alias("class"))
-    return out.select(id_out(), id_out("class", "class_id"), (F.col("id") == F.col("class")).alias("kept"))
+    # of a class stands the least (id, digest)
+    linked = labels.join(reps, "node")
+    tops = linked.groupBy("label").agg(F.min(F.struct("id", "digest")).alias("top"))
+    of = reps.join(labels.join(tops, "label").select("node", "top"), "node", "left")
+    of = of.select("digest", F.coalesce("top", F.struct("id", "digest")).alias("top"))
+    out = signed.select("id", "mark", "digest").join(of, "digest", "left")
+    kept = F.col("top").isNull() | ((F.col("id") == F.col("top.id")) & (F.col("digest") == F.col("top.digest")))
+    return out.select("id", "mark", F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("class"), kept.alias("kept"))
+
+
+def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 500) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id (least id of its class), kept.
+
+    Classes are the connected components of similarity ``least`` or more:
+    weighted Jaccard over the multisets of five-word shingles, exact for every
+    candidate; a pair at 0.8 is a candidate with probability above 0.99997.
+    Null, empty and wordless texts are never near anything. Copies share a
+    class. Texts are compared and judged each for itself, also where they
+    share an id or have none; a class is kept by the row with the least id,
+    null last, and of texts with that id by the least digest. Rows repeated
+    with one id and the same words share their fate. Other columns are
+    ignored.
+    """
+    return _groups(docs, least, id_col, text_col, block).select(id_out(), id_out("class", "class_id"), "kept")
 
 
-def drop_near(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class."""
-    gone = near_groups(docs, least, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+def drop_near(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 500) -> DataFrame:
+    """``docs`` with one document of each class; a row is known by its id and text."""
+    gone = _groups(docs, least, id_col, text_col, block).where(~F.col("kept")).select(id_out("id", "__gone"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]) & (text_mark(text_col) == gone["__mark"]), "left_anti")

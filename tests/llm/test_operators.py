@@ -292,6 +292,23 @@ def test_near_dedup_second_look_knows_shared_bands_by_their_whole_hash(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_dedup_keeps_texts_of_one_id_apart(spark):
+    """Null ids and ids on several texts: every text is judged for itself, in both drops."""
+    rng = random.Random(12)
+    a, b, c, d, e = ([f"w{rng.randint(0, 10**6)}" for _ in range(120)] for _ in range(5))
+    near = lambda words: " ".join([*words[:-2], "other", "end"])
+    good = [(1, " ".join(a)), (7, " ".join(b)), (None, " ".join(c)), (None, " ".join(d)), (8, " ".join(e)), (None, "")]
+    copies = [(7, near(a)), (None, near(b)), (None, near(c)), (None, near(e)), (9, near(b))]
+    docs = spark.createDataFrame([*good, *copies], "doc_id long, text string").repartition(3)
+    left = collections.Counter(map(tuple, near_dedup.drop_near(docs).collect()))
+    # of the two near texts without an id either one may stand for the class
+    assert sum(left.values()) == len(good) and left[None, " ".join(c)] + left[None, near(c)] == 1
+    assert all(left[r] == 1 for r in good if r != (None, " ".join(c)))
+    same = [(7, " ".join(a) + " "), (1, " ".join(a) + "  "), (None, " ".join(b)), (None, " ".join(e))]
+    docs = spark.createDataFrame([*good, *same], "doc_id long, text string").repartition(3)
+    assert collections.Counter(map(tuple, exact_dedup.drop_copies(docs).collect())) == collections.Counter([*good[1:], same[1], good[0]])
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 400, dtype=np.uint64)
