@@ -9,10 +9,12 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Stands for a null identifier inside an operator; such rows sort last.
@@ -40,27 +42,85 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every executor reaches.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    set once.
+    A session on one machine (tests) that names none gets a temporary folder.
+    On a cluster that is an error: executors do not see each other's disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_tessera_folder", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext._tessera_folder = base
     return f"{base.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffles whose results are written: Spark deletes their files once the driver has no use for them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def store(df: DataFrame, path: str, **options: str) -> None:
+    """Write ``df`` as Parquet; the shuffles of this one execution are deleted when it ends."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+class Workspace:
+    """Tables that an operator writes to the shared folder: they cut the lineage and survive lost executors.
+
+    ``drop`` deletes a table that nothing reads any more; what the operator's
+    result reads has to stay. Within ``recorded`` such folders are noted, and
+    ``finish`` deletes them, to be called once the results are written.
+    """
+
+    _noted: list[str] | None = None
+    _left: dict[str, list[str]] = {}  # application -> folders noted
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, {}
+
+    @classmethod
+    @contextmanager
+    def recorded(cls, spark: SparkSession) -> Iterator[None]:
+        before, cls._noted = cls._noted, cls._left.setdefault(spark.sparkContext.applicationId, [])
+        try:
+            yield
+        finally:
+            cls._noted = before
+
+    @classmethod
+    def finish(cls, spark: SparkSession) -> None:
+        left = cls._left.get(spark.sparkContext.applicationId, [])
+        while left:
+            delete(spark, left.pop())
+
+    def path(self, tag: str) -> str:
+        out = shared_path(self.spark, tag)
+        if self._noted is not None:
+            self._noted.append(out)
+        return out
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        path = self.path(tag)
+        store(df, path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self._paths.pop(id(t))[1]
+            delete(self.spark, path)
+            if self._noted is not None:
+                self._noted.remove(path)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,12 +186,27 @@ def ints(column: pa.Array) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what a task holds at once is bounded."""
+    """Batches of at most ``rows`` rows, so that what an operator makes of them at once is bounded.
+
+    Arrow's own batch is in memory already: its size is Spark's
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+def sized(batches: Iterator[pa.RecordBatch], column: str | int = "text", rows: int = 4096, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows and about ``most`` bytes of ``column``, one row at least."""
+    for b in slices(batches, rows):
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most)))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def by_key(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[tuple[int, list[dict]]]:
     """Rows of key-sorted batches, gathered for one key at a time."""
     now, held = None, []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import Workspace
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,18 +15,21 @@ def components(links: DataFrame) -> DataFrame:
     those within one node dropping out. A star vanishes in one round; links
     shrink at least by half for any other shape. Minima are combined before
     they are shuffled, and joins meet a hub on one side only, so a hub may be
-    split. Each round is written to the shared folder.
+    split. Each round is written to the shared folder and the round before deleted.
     """
-    links = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("label"))
+    own = Workspace(links.sparkSession)
+    links = own.write(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = own.write(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("label")), "labels")
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
-        hooks = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up")).select(F.col("a").alias("at"), "up"), "hooks")
-        again = hooks.select(F.col("at").alias("at2"), F.col("up").alias("up2"))
-        hooks = hooks.join(again, F.col("up") == F.col("at2"), "left").select("at", F.coalesce("up2", "up").alias("up"))
-        hooks = materialize(hooks, "hooks")
-        labels = materialize(labels.join(hooks, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        first = own.write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up")).select(F.col("a").alias("at"), "up"), "hooks")
+        again = first.select(F.col("at").alias("at2"), F.col("up").alias("up2"))
+        hooks = own.write(first.join(again, F.col("up") == F.col("at2"), "left").select("at", F.coalesce("up2", "up").alias("up")), "hooks")
+        now = own.write(labels.join(hooks, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
         moved = links.join(hooks.select(F.col("at").alias("x"), F.col("up").alias("a2")), F.col("a") == F.col("x"), "left").select(F.coalesce("a2", "a").alias("a"), "b")
         moved = moved.join(hooks.select(F.col("at").alias("x"), F.col("up").alias("b2")), F.col("b") == F.col("x"), "left").select("a", F.coalesce("b2", "b").alias("b"))
-        links = materialize(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        left = own.write(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        own.drop(first, hooks, labels, links)
+        labels, links = now, left
+    own.drop(links)
     return labels

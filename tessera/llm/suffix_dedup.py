@@ -8,22 +8,22 @@ for a cluster, so:
    ``GRAM`` bytes with the least hash; equal windows have equal anchors. Tasks
    send the distinct (anchor hash, text tag) pairs of their texts to parts by
    hash. An anchor met in one text only cannot be in a repeated window; the
-   others are sent back to the groups of texts that asked (a group is named by
-   the text's tag, so exact copies meet in one group).
-2. Contexts. In its group a text that is an exact copy needs no more: it goes
-   as a whole (or, below ``width`` bytes, stays). For the others, each run of
-   windows under one shared anchor is cut out with its bytes and sent to a
-   bucket by anchor hash. Within a group equal contexts are sent once, for the
-   smallest id; the others are known to repeat.
+   others are sent back to the groups of texts that asked. A group is named by
+   the text's tag, and a task sends a text once, with the least id it has met.
+2. Contexts. The group knows the least id of each text; every other row with
+   that text goes as a whole. For the first one, each run of windows under one
+   shared anchor is cut out with its bytes and sent to a bucket by anchor hash.
+   Within a group equal contexts are sent once, for the smallest id; the
+   others are known to repeat.
 3. Suffix arrays. A bucket concatenates contexts and builds their suffix array
    by two-stage sorting: only suffixes smaller than their successor are
    sorted directly, the rest are induced by scanning buckets of the first byte
    in order. Order is needed to ``width`` bytes only. Common prefixes of
    neighbours of at least ``width`` bytes make classes; a window goes if its
    class has a smaller id.
-4. Spans return to the groups, where they are joined and applied.
+4. Spans meet the rows, dealt by text and id, where they are joined and applied.
 
-Texts cross the network twice, compressed; anchors take 12 bytes each. Every
+Texts cross the network twice, compressed; anchors take 14 bytes each. Every
 step deals byte strings by hashes, and a passage met in thousands of texts is
 reduced to one entry for each task before it is sent, so no key grows hot.
 """
@@ -37,8 +37,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import by_key, claim, id_out, id_text, ints, materialize, mix, portions, raw, release, slices
+from .common import NULL_ID, Workspace, by_key, claim, id_out, id_text, ints, mix, portions, raw, sized, slices
 
 GRAM = 16
 BLOB = "key int, kind int, data binary"
@@ -205,20 +207,20 @@ def anchors(data: bytes, width: int) -> np.ndarray:
     return _window_min(_gram_hashes(np.frombuffer(data, np.uint8)), width - GRAM + 1)
 
 
-def _key(data: bytes) -> int:
-    """Names a text; its lower 48 bits tell the group."""
-    return int.from_bytes(hashlib.sha256(data).digest()[:8], "little")
-
-
-TAG = (1 << 48) - 1
+def _names(texts: list[bytes]) -> np.ndarray:
+    """Two words that name each text: 128 bits of its SHA-256. The first one tells the group."""
+    return np.frombuffer(b"".join([hashlib.sha256(t).digest()[:16] for t in texts]), "<u8").reshape(-1, 2)
 
 
 # --------------------------------------------------------------------- blobs
 
 ENTRY = np.dtype([("h", "<u8"), ("tag", "<u8")])
-SPAN = np.dtype([("key", "<u8"), ("a", "<i8"), ("b", "<i8")])
-CONTEXT = np.dtype([("h", "<u8"), ("key", "<u8"), ("id", "<i8"), ("at", "<i8"), ("n", "<i8")])
+#: A removed run [a, b) of the text of a row; a == b only says that the row is the first one with its text.
+SPAN = np.dtype([("key", "<u8"), ("more", "<u8"), ("id", "<i8"), ("a", "<i8"), ("b", "<i8")])
+CONTEXT = np.dtype([("h", "<u8"), ("key", "<u8"), ("more", "<u8"), ("id", "<i8"), ("at", "<i8"), ("n", "<i8")])
 OFTEN = np.dtype([("h", "<u8"), ("n", "<i8")])
+SALTS = 16  # rows without an id are dealt to so many places
+COUNTED = 64  # one context in so many is counted
 
 
 def _squeeze(*parts: bytes) -> bytes:
@@ -246,53 +248,89 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 TEXT, SHARED, CTX, SPANS, LONE, COUNTS = range(6)
 
 
-def _text_blobs(groups: int, most: int = 8 << 20):
-    """Texts to their groups: distinct texts of about ``most`` bytes at a time, each with the ids that have it."""
+def _text_blobs(groups: int, width: int, most: int = 8 << 20):
+    """Distinct texts of about ``most`` bytes at a time to their groups, each with the least id that has it."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("suffix")
-        held: dict[bytes, list[int]] = {}
+        held: dict[bytes, int] = {}
         size = 0
 
         def full():
-            by: dict[int, list[bytes]] = {}
-            for text in held:
-                by.setdefault((_key(text) & TAG) % groups, []).append(text)
+            texts = list(held)
+            group = (_names(texts)[:, 0] % np.uint64(groups)).astype(np.int64)
             rows = []
-            for key, texts in by.items():
-                ids = [sorted(held[x]) for x in texts]
-                rows.append((key, TEXT, _squeeze(np.array([len(x) for x in texts], "<i8").tobytes(), np.array([len(i) for i in ids], "<i8").tobytes(), np.array([y for i in ids for y in i], "<i8").tobytes(), b"".join(texts))))
+            for key, own in _split(group):
+                some = [texts[i] for i in own.tolist()]
+                rows.append((key, TEXT, _squeeze(np.array([len(x) for x in some], "<i8").tobytes(), np.array([held[x] for x in some], "<i8").tobytes(), b"".join(some))))
             return _rows(rows)
 
         for b in slices(batches, 1024):
             for doc, text in zip(ints(b.column("id")).tolist(), raw(b.column("text")), strict=True):
+                if len(text) < width:  # neither repeats nor is repeated
+                    continue
                 if text not in held:
-                    held[text] = []
+                    held[text] = doc
                     size += len(text)
-                held[text].append(doc)
-                size += 8
-            if size >= most:
-                yield full()
-                held.clear()
-                size = 0
+                elif doc < held[text]:
+                    held[text] = doc
+                if size >= most:
+                    yield full()
+                    held.clear()
+                    size = 0
         if held:
             yield full()
 
     return step
 
 
-def _group(rows: list[dict]) -> dict[bytes, list[int]]:
-    """Distinct texts of a group with their ids in ascending order."""
-    texts: dict[bytes, list[int]] = {}
+def _split(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group with the places that have it, in order."""
+    order = np.argsort(group, kind="stable")
+    cut = np.flatnonzero(np.diff(group[order])) + 1
+    for own in np.split(order, cut) if len(order) else []:
+        yield int(group[own[0]]), own
+
+
+def _place(key: np.ndarray, doc: np.ndarray, groups: int, salt: np.ndarray | int = 0) -> np.ndarray:
+    """Where a row is finished: by its text and id, so that copies of one text are apart; rows without an id by a salt, too."""
+    doc = np.asarray(doc, np.int64)
+    x = key ^ mix(np.where(doc == NULL_ID, salt, doc).astype(np.int64).view(np.uint64))
+    return (mix(x) % np.uint64(groups)).astype(np.int64)
+
+
+def _row_blobs(groups: int, most: int = 8 << 20):
+    """Whole rows to the places where they are finished; columns after id and text are carried along."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix")
+        turn = 0
+        for b in sized(batches, rows=1 << 16, most=most):
+            texts, doc, rest = raw(b.column("text")), ints(b.column("id")).astype("<i8"), b.select(b.schema.names[2:])
+            names, size = _names(texts), np.array([len(t) for t in texts], "<i8")
+            rows = []
+            for key, own in _split(_place(names[:, 0], doc, groups, (np.arange(len(doc)) + turn) % SALTS)):
+                carried = rest.take(pa.array(own)).serialize().to_pybytes() if rest.num_columns else b""
+                rows.append((key, TEXT, _squeeze(size[own].tobytes(), doc[own].tobytes(), names[own].tobytes(), carried, b"".join([texts[i] for i in own.tolist()]))))
+            turn += len(doc)
+            yield _rows(rows)
+
+    return step
+
+
+def _group(rows: list[dict]) -> dict[bytes, int]:
+    """Distinct texts of a group with the least id of each."""
+    texts: dict[bytes, int] = {}
     for r in rows:
         if r["kind"] != TEXT:
             continue
-        sizes, counts, ids, data = _spread(r["data"])
-        ids, at, k = np.frombuffer(ids, "<i8").tolist(), 0, 0
-        for n, c in zip(np.frombuffer(sizes, "<i8").tolist(), np.frombuffer(counts, "<i8").tolist(), strict=True):
-            texts.setdefault(data[at : at + n], []).extend(ids[k : k + c])
-            at, k = at + n, k + c
-    return {t: sorted(i) for t, i in texts.items()}
+        sizes, ids, data = _spread(r["data"])
+        at = 0
+        for n, doc in zip(np.frombuffer(sizes, "<i8").tolist(), np.frombuffer(ids, "<i8").tolist(), strict=True):
+            text = data[at : at + n]
+            texts[text] = min(doc, texts.get(text, doc))
+            at += n
+    return texts
 
 
 def _entries(width: int, parts: int, groups: int, most: int = 1 << 20):
@@ -338,7 +376,7 @@ def _entries(width: int, parts: int, groups: int, most: int = 1 << 20):
                 pick = np.arange(len(a)) - begin <= size[owner] - width  # windows inside one text
                 pick[1:] &= (a[1:] != a[:-1]) | (owner[1:] != owner[:-1]) | ~pick[:-1]
                 e = np.empty(int(pick.sum()), ENTRY)
-                e["h"], e["tag"] = a[pick], np.array([_key(t) & TAG for t in texts], np.uint64)[owner[pick]]
+                e["h"], e["tag"] = a[pick], _names(texts)[:, 0][owner[pick]]
                 held.append(e)
                 n += len(e)
             if n >= most:
@@ -364,19 +402,16 @@ def _dealt(group: np.ndarray, h: np.ndarray, groups: int) -> Iterator[tuple[int,
 
 
 def _narrow(e: np.ndarray) -> bytes:
-    """Pairs in 12 bytes each: the upper 48 bits of the hash, 48 of the tag."""
+    """Pairs in 14 bytes each: the upper 48 bits of the hash, and the tag."""
     h = (e["h"] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    t = e["tag"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.concatenate([h, t], axis=1).tobytes()
+    return np.concatenate([h, e["tag"].astype("<u8").view(np.uint8).reshape(-1, 8)], axis=1).tobytes()
 
 
 def _widen(data: bytes) -> np.ndarray:
-    x = np.frombuffer(data, np.uint8).reshape(-1, 12)
-    e = np.empty(len(x), ENTRY)
-    for name, a in (("h", 0), ("tag", 6)):
-        w = np.zeros((len(x), 8), np.uint8)
-        w[:, :6] = x[:, a : a + 6]
-        e[name] = w.view("<u8")[:, 0]
+    x = np.frombuffer(data, np.uint8).reshape(-1, 14)
+    e, w = np.empty(len(x), ENTRY), np.zeros((len(x), 8), np.uint8)
+    w[:, :6] = x[:, :6]
+    e["h"], e["tag"] = w.view("<u8")[:, 0], np.ascontiguousarray(x[:, 6:]).view("<u8")[:, 0]
     return e
 
 
@@ -410,41 +445,40 @@ def _contexts(width: int, buckets: int, most: int = 4 << 20):
     """Runs of windows under shared anchors, to buckets; what a group can tell alone stays as spans."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for home, rows in by_key(batches):
+        for _, rows in by_key(batches):
             lists = [np.frombuffer(_spread(r["data"])[0], "<u8") for r in rows if r["kind"] == SHARED]
-            texts = _group(rows)
+            texts = sorted(_group(rows).items(), key=lambda x: x[1])
             del rows
-            if not lists:
+            if not texts:
                 continue
-            shared = np.unique(np.concatenate(lists))
+            names = _names([t for t, _ in texts])
+            first = np.zeros(len(texts), SPAN)
+            first["key"], first["more"], first["id"] = names[:, 0], names[:, 1], [i for _, i in texts]
+            shared = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
             found: list[tuple[bytes, tuple]] = []
             least: dict[bytes, int] = {}  # the document that each context was met in first
-            spans: list[tuple[int, int, int]] = []
+            spans: list[tuple[int, int, int, int, int]] = []
             size = 0
-            for text, ids in sorted(texts.items(), key=lambda x: x[1][0]):
-                if len(text) < width:
-                    continue
+            for (text, doc), name in zip(texts if len(shared) else [], names.tolist(), strict=False):
                 a = anchors(text, width) >> np.uint64(16)
                 at = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
                 end = np.append(at[1:], len(a))
                 h = a[at]
                 hit = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
-                key = _key(text)
                 for s, e, x in zip(at[hit].tolist(), end[hit].tolist(), h[hit].tolist(), strict=True):
                     own = text[s : e - 1 + width]
-                    if least.setdefault(own, ids[0]) == ids[0]:
-                        found.append((own, (x, key, ids[0], s, e - s)))
+                    if least.setdefault(own, doc) == doc:
+                        found.append((own, (x, *name, doc, s, e - s)))
                         size += len(own)
                     else:  # a smaller document of this group has it
-                        spans.append((key, s, e - 1 + width))
+                        spans.append((*name, doc, s, e - 1 + width))
                 if size >= most:
                     yield _sent(found, buckets)
                     found, size = [], 0
                     least.clear()
             if found:
                 yield _sent(found, buckets)
-            if spans:
-                yield _rows([(home, SPANS, _squeeze(_joined(np.array(spans, SPAN)).tobytes()))])
+            yield from _home(_joined(np.concatenate([first, np.array(spans, SPAN)])), buckets)
 
     return step
 
@@ -454,75 +488,88 @@ def _sent(found: list[tuple[bytes, tuple]], buckets: int, counted: bool = True)
     for i, (_, x) in enumerate(found):
         by.setdefault(x[0] % buckets, []).append(i)
     rows = [(k, CTX, _squeeze(np.array([found[i][1] for i in own], CONTEXT).tobytes(), b"".join([found[i][0] for i in own]))) for k, own in by.items()]
-    if counted:
-        h, n = np.unique(np.fromiter((x[0] for _, x in found), np.uint64, len(found)), return_counts=True)
-        often = np.empty(int((n > 3).sum()), OFTEN)
-        often["h"], often["n"] = h[n > 3], n[n > 3]
-        if len(often):
+    if counted:  # by the name of a context, so an anchor is counted as well if each group has few of its contexts
+        own = [x for _, x in found if (x[1] ^ x[4] * 0x9E3779B97F4A7C15) >> 32 & COUNTED - 1 == 0]
+        h, n = np.unique(np.array([x[0] for x in own], np.uint64), return_counts=True)
+        if len(h):
+            often = np.empty(len(h), OFTEN)
+            often["h"], often["n"] = h, n * COUNTED
             rows.append((0, COUNTS, _squeeze(often.tobytes())))
     return _rows(rows)
 
 
+def _windows(c: np.ndarray, data: bytes, start: np.ndarray, width: int) -> tuple[list[tuple[bytes, tuple]], np.ndarray]:
+    """The windows of contexts as contexts of their own, named by their bytes; of equal ones the least id's, and spans for the others."""
+    least: dict[bytes, int] = {}
+    pieces = list(zip(c.tolist(), start.tolist(), strict=True))
+    for x, a in pieces:
+        for i in range(a, a + x[5]):
+            w = data[i : i + width]
+            least[w] = min(least.get(w, x[3]), x[3])
+    spans, one = [], []
+    for x, a in pieces:
+        for i in range(x[5]):
+            w = data[a + i : a + i + width]
+            if least[w] == x[3]:
+                one.append((w, (int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "little"), *x[1:4], x[4] + i, 1)))
+            else:
+                spans.append((*x[1:4], x[4] + i, x[4] + i + width))
+    return one, _joined(np.array(spans, SPAN))
+
+
+def _starts(c: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and length of each context in their joined bytes."""
+    size = c["n"] + width - 1
+    return np.cumsum(size) - size, size
+
+
 def _scatter(width: int, buckets: int, hot: np.ndarray):
     """Contexts of anchors with very many of them, as single windows, to buckets by the window's hash."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            blob = b.column("data")[0].as_py()
-            c, data = _spread(blob)
-            c = np.frombuffer(c, CONTEXT)
+            key, kind, blob = (b.column(c)[0].as_py() for c in ("key", "kind", "data"))
+            c = np.zeros(0, CONTEXT)
+            if kind == CTX:
+                c, data = _spread(blob)
+                c = np.frombuffer(c, CONTEXT)
             is_hot = np.isin(c["h"], hot)
             if not is_hot.any():
-                yield _rows([(b.column("key")[0].as_py(), CTX, blob)])
+                yield _rows([(key, kind, blob)])
                 continue
-            size = c["n"] + width - 1
-            start = np.cumsum(size) - size
-            least: dict[bytes, int] = {}
-            pieces = [(x, a, n) for x, a, n in zip(c.tolist(), start.tolist(), size.tolist(), strict=True)]
-            hot_ones = [p for p, split in zip(pieces, is_hot.tolist(), strict=True) if split]
-            for x, a, _ in hot_ones:
-                for i in range(a, a + x[4]):
-                    w = data[i : i + width]
-                    least[w] = min(least.get(w, x[2]), x[2])
-            rest = [(data[a : a + n], x) for (x, a, n), split in zip(pieces, is_hot.tolist(), strict=True) if not split]
-            spans, one = [], []
-            for x, a, _ in hot_ones:
-                for i in range(x[4]):
-                    w = data[a + i : a + i + width]
-                    if least[w] == x[2]:
-                        one.append((w, (int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "little"), x[1], x[2], x[3] + i, 1)))
-                    else:  # a smaller document of this blob has it
-                        spans.append((x[1], x[3] + i, x[3] + i + width))
+            start, size = _starts(c, width)
+            rest = [(data[a : a + n], x) for x, a, n in zip(c[~is_hot].tolist(), start[~is_hot].tolist(), size[~is_hot].tolist(), strict=True)]
+            one, spans = _windows(c[is_hot], data, start[is_hot], width)
             for part in (rest, one):
                 if part:
                     yield _sent(part, buckets, counted=False)
-            if spans:
-                yield from _home(_joined(np.array(spans, SPAN)), buckets)
+            yield from _home(spans, buckets)
 
     return step
 
 
 def _home(s: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    """Spans to the groups of their texts."""
-    home = ((s["key"] & np.uint64(TAG)) % np.uint64(groups)).astype(np.int64)
-    by = np.argsort(home, kind="stable")
-    s, home = s[by], home[by]
-    cut = np.append(0, np.flatnonzero(np.diff(home)) + 1)
-    yield _rows([(int(home[a]), SPANS, _squeeze(x.tobytes())) for a, x in zip(cut, np.split(s, cut[1:]), strict=True)])
+    """Spans to where their rows are finished."""
+    if not len(s):
+        return
+    lost = s["id"] == NULL_ID
+    s = np.concatenate([s[~lost], np.repeat(s[lost], SALTS)])
+    salt = np.concatenate([np.zeros(int((~lost).sum()), np.int64), np.tile(np.arange(SALTS), int(lost.sum()))])
+    yield _rows([(g, SPANS, _squeeze(s[own].tobytes())) for g, own in _split(_place(s["key"], s["id"], groups, salt))])
 
 
 def _joined(s: np.ndarray) -> np.ndarray:
-    """Spans of each text with those that touch or overlap made one."""
-    s = s[np.lexsort((s["a"], s["key"]))]
+    """Spans of each row with those that touch or overlap made one."""
     if not len(s):
         return s
+    s = s[np.lexsort((s["a"], s["id"], s["more"], s["key"]))]
+    other = (s["key"][1:] != s["key"][:-1]) | (s["more"][1:] != s["more"][:-1]) | (s["id"][1:] != s["id"][:-1])
     new = np.ones(len(s), bool)
-    first = np.append(np.flatnonzero(np.diff(s["key"])) + 1, len(s))
     reach, low = np.empty(len(s), np.int64), 0
-    for e in first.tolist():
+    for e in np.append(np.flatnonzero(other) + 1, len(s)).tolist():
         reach[low:e] = np.maximum.accumulate(s["b"][low:e])
         low = e
-    new[1:] = (s["key"][1:] != s["key"][:-1]) | (s["a"][1:] > reach[:-1])
+    new[1:] = other | (s["a"][1:] > reach[:-1])
     at = np.flatnonzero(new)
     out = s[at].copy()
     out["b"] = reach[np.append(at[1:], len(s)) - 1]
@@ -530,7 +577,7 @@ def _joined(s: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(contexts: np.ndarray, data: bytes, width: int) -> np.ndarray:
-    """Spans (key, a, b) of windows that also start in a document with a smaller id, among these contexts."""
+    """Spans of windows that also start in a document with a smaller id, among these contexts."""
     size = contexts["n"].astype(np.int64) + width - 1
     start = np.cumsum(size) - size
     wanted = np.zeros(len(data), bool)
@@ -553,7 +600,9 @@ def repeated_windows(contexts: np.ndarray, data: bytes, width: int) -> np.ndarra
     p = order[gone]
     c = owner[p]
     out = np.empty(len(p), SPAN)
-    out["key"], out["a"] = contexts["key"][c], contexts["at"][c] + p - start[c]
+    for name in ("key", "more", "id"):
+        out[name] = contexts[name][c]
+    out["a"] = contexts["at"][c] + p - start[c]
     out["b"] = out["a"] + width
     return out
 
@@ -565,73 +614,112 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(o["h"].astype(np.int64)), pa.array(o["n"])], ["h", "n"])
 
 
-def _solve(width: int, groups: int, most: int = 1 << 20):
-    """The suffix arrays of a bucket, whole anchors at a time; spans go home."""
+def _solve(width: int, groups: int, hot: int, most: int = 1 << 20, hold: int = 64 << 20, last_round: bool = False):
+    """The suffix arrays of a bucket, whole anchors at a time; spans go home.
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_key(batches):
-            for r in rows:
-                if r["kind"] == SPANS:  # found on the way, already addressed by its texts
-                    yield from _home(np.frombuffer(_spread(r["data"])[0], SPAN), groups)
-            heads, texts = [], []
-            for r in rows:
-                if r["kind"] == CTX:
-                    c, data = _spread(r["data"])
-                    heads.append(np.frombuffer(c, CONTEXT))
-                    texts.append(data)
-            del rows
-            if not heads:
+    A bucket is read as a stream. Whenever ``hold`` bytes are at hand, anchors
+    with ``hot`` contexts or more are cut into single windows that leave for
+    another round, and so are their contexts from then on: an anchor of any
+    size passes through bounded memory. In the last round, where a bucket has
+    single windows only, equal ones are made one instead.
+    """
+
+    def thinned(c, data, hot_here, first):
+        """What stays of contexts and bytes, and what leaves."""
+        if last_round:
+            one, spans = _windows(c, data, _starts(c, width)[0], width)
+            return np.array([x for _, x in one], CONTEXT), b"".join([w for w, _ in one]), [], spans
+        if first:
+            h, n = np.unique(c["h"], return_counts=True)
+            hot_here |= set(h[n >= hot].tolist())
+        out = np.isin(c["h"], np.array(sorted(hot_here), np.uint64))
+        start, size = _starts(c, width)
+        one, spans = _windows(c[out], data, start[out], width)
+        return c[~out], b"".join([data[a : a + s] for a, s in zip(start[~out].tolist(), size[~out].tolist(), strict=True)]), one, spans
+
+    def solved(c, data):
+        start, size = _starts(c, width)
+        order = np.argsort(c["h"], kind="stable")
+        c, start, size = c[order], start[order], size[order]
+        last = np.append(c["h"][1:] != c["h"][:-1], True)
+        total, low, spans = np.cumsum(size), 0, []
+        for e in (np.flatnonzero(last) + 1).tolist():
+            if e < len(c) and total[e - 1] - (total[low - 1] if low else 0) < most:
                 continue
+            own = b"".join([data[a : a + s] for a, s in zip(start[low:e].tolist(), size[low:e].tolist(), strict=True)])
+            spans.append(_joined(repeated_windows(c[low:e], own, width)))
+            low = e
+        return np.concatenate(spans) if spans else np.zeros(0, SPAN)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heads, texts, size, limit, hot_here = None, [], [], 0, hold, set()
+
+        def ended():
             c, data = np.concatenate(heads), b"".join(texts)
-            del texts, heads
-            size = c["n"] + width - 1
-            start = np.cumsum(size) - size
-            order = np.argsort(c["h"], kind="stable")
-            c, start, size = c[order], start[order], size[order]
-            last = np.append(c["h"][1:] != c["h"][:-1], True)
-            total, low, spans = np.cumsum(size), 0, []
-            for e in (np.flatnonzero(last) + 1).tolist():
-                if e < len(c) and total[e - 1] - (total[low - 1] if low else 0) < most:
+            if hot_here:
+                c, data, one, spans = thinned(c, data, hot_here, False)
+                yield _sent(one, groups, counted=False)
+                yield from _home(spans, groups)
+            yield from _home(solved(c, data), groups)
+
+        for b in batches:
+            for key, kind, blob in zip(b.column("key").to_pylist(), b.column("kind").to_pylist(), b.column("data").to_pylist(), strict=True):
+                if key != now:
+                    if heads:
+                        yield from ended()
+                    now, heads, texts, size, limit, hot_here = key, [], [], 0, hold, set()
+                if kind == SPANS:  # found on the way, already addressed
+                    yield _rows([(key, SPANS, blob)])
                     continue
-                own = b"".join([data[a : a + s] for a, s in zip(start[low:e].tolist(), size[low:e].tolist(), strict=True)])
-                spans.append(_joined(repeated_windows(c[low:e], own, width)))
-                low = e
-            s = np.concatenate(spans)
-            if len(s):
-                yield from _home(s, groups)
+                c, data = _spread(blob)
+                heads.append(np.frombuffer(c, CONTEXT))
+                texts.append(data)
+                size += len(data)
+                if size >= limit:
+                    c, data, one, spans = thinned(np.concatenate(heads), b"".join(texts), hot_here, True)
+                    yield _sent(one, groups, counted=False)
+                    yield from _home(spans, groups)
+                    heads, texts, size = [c], [data], len(data)
+                    limit = max(hold, 2 * size)
+        if heads:
+            yield from ended()
 
     return step
 
 
-def _apply(width: int, with_text: bool):
-    """Each row of a group with its spans joined and taken out."""
+def _apply(width: int, with_text: bool, carried: pa.Schema | None):
+    """Each row with its spans joined and taken out; a row that is not the first with its text goes as a whole."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
             found = [np.frombuffer(_spread(r["data"])[0], SPAN) for r in rows if r["kind"] == SPANS]
-            texts = _group(rows)
-            del rows
             s = _joined(np.concatenate(found)) if found else np.zeros(0, SPAN)
-            keys, low = np.unique(s["key"], return_index=True)
-            where = dict(zip(keys.tolist(), zip(low.tolist(), np.append(low, len(s))[1:].tolist(), strict=True), strict=True))
-            out: list[tuple] = []
-            for text, own in texts.items():
-                n = len(text)
-                lo, hi = where.get(_key(text), (0, 0))
-                runs = list(zip(s["a"][lo:hi].tolist(), s["b"][lo:hi].tolist(), strict=True))
-                for i, doc in enumerate(own):
-                    cut = [(0, n)] if doc != own[0] and n >= width else runs if doc == own[0] else []
-                    if i == 0 or cut is not last_cut:
-                        edges = [0, *[x for r in cut for x in r], n]
-                        kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                        digest = hashlib.sha256(kept).hexdigest()
-                    last_cut = cut
-                    out.append((doc, n, n - len(kept), len(cut), digest, *([kept.decode("utf-8", "ignore"), [{"start": a, "end": b} for a, b in cut]] if with_text else [])))
-                if len(out) >= 2000:
-                    yield _table(out, with_text)
-                    out = []
-            if out:
-                yield _table(out, with_text)
+            own: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+            for key, more, doc, a, b in s.tolist():
+                own.setdefault((key, more, doc), []).extend([(a, b)] if a < b else [])
+            del found, s
+            for r in rows:
+                if r["kind"] != TEXT:
+                    continue
+                sizes, ids, names, rest, data = _spread(r["data"])
+                at, out = 0, []
+                for n, doc, name in zip(np.frombuffer(sizes, "<i8").tolist(), np.frombuffer(ids, "<i8").tolist(), np.frombuffer(names, "<u8").reshape(-1, 2).tolist(), strict=True):
+                    text, cut = data[at : at + n], own.get((*name, doc))
+                    at += n
+                    if n < width:
+                        cut = []
+                    elif cut is None:
+                        cut = [(0, n)]
+                    edges = [0, *[x for run in cut for x in run], n]
+                    out.append((doc, text, b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if cut else text, cut))
+                if carried is not None:
+                    left = pa.array([not cut or bool(kept.split()) for _, _, kept, cut in out])
+                    some = pa.ipc.read_record_batch(pa.py_buffer(rest), carried).filter(left) if len(carried) else None
+                    texts = pa.array([kept.decode("utf-8", "ignore") for _, _, kept, _ in out], pa.string()).filter(left)
+                    yield pa.RecordBatch.from_arrays([texts, *(some.columns if some is not None else [])], ["text", *carried.names])
+                    continue
+                table = [(doc, len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore"), [{"start": a, "end": b} for a, b in cut]] if with_text else [])) for doc, text, kept, cut in out]
+                yield _table(table, with_text)
 
     return step
 
@@ -645,42 +733,49 @@ def _table(rows: list[tuple], with_text: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group_bytes: int = 4 << 20, hot_contexts: int = 20_000) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``with_text`` also kept and spans.
-
-    Texts are UTF-8 bytes, null is empty. ``kept`` drops characters that a
-    removed span has cut apart. Rows repeated with one id count as one
-    document, so they do not remove each other; null ids come last and count
-    as one document. Other columns are ignored. ``group_bytes``: about so much
-    text is in a group, and as much context in a bucket, at a time.
-    ``hot_contexts``: an anchor with so many different contexts has its
-    windows dealt singly; this changes where the work is done, not the result.
-    """
+def _placed(base: DataFrame, width: int, group_bytes: int, hot_contexts: int, hold: int) -> DataFrame:
+    """Blobs of the rows of ``base`` (id, text, carried columns) and of their spans, dealt and sorted by where they are finished."""
     if width < GRAM:
         raise ValueError(f"width has to be at least {GRAM}")
-    spark, base = docs.sparkSession, id_text(docs, id_col, text_col)
-    total = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    own, texts_only = Workspace(base.sparkSession), base.select("id", "text")
+    total = texts_only.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     groups = int(max(16, total // group_bytes))
     parts = max(16, groups // 4)
 
     def deal(df: DataFrame, n: int) -> DataFrame:
-        return df.repartition(n, "key").sortWithinPartitions("key")
+        return df.repartitionById(n, F.col("key")).sortWithinPartitions("key")
 
-    texts = base.mapInArrow(_text_blobs(groups), BLOB)
-    shared = deal(base.mapInArrow(_entries(width, parts, groups), BLOB), parts).mapInArrow(_shared(groups), BLOB)
-    work = materialize(deal(texts.unionByName(shared), groups).mapInArrow(_contexts(width, groups), BLOB), "contexts")
+    texts = texts_only.mapInArrow(_text_blobs(groups, width), BLOB)
+    shared = deal(texts_only.mapInArrow(_entries(width, parts, groups), BLOB), parts).mapInArrow(_shared(groups), BLOB)
+    work = own.write(deal(texts.unionByName(shared), groups).mapInArrow(_contexts(width, groups), BLOB), "contexts")
     often = work.where(F.col("kind") == COUNTS).mapInArrow(_often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    least = max(hot_contexts, total // 1_000_000)  # so the list has a million entries at most
+    least = max(hot_contexts, total // 1_000_000)  # so the list has a million entries at most; less hot anchors leave their buckets later
     hot = np.array([r[0] for r in often.where(F.col("n") >= least).select("h").collect()], np.int64).astype(np.uint64)
-    contexts = work.where(F.col("kind") == CTX)
+    contexts = work.where(F.col("kind") != COUNTS)
     if len(hot):
         contexts = contexts.mapInArrow(_scatter(width, groups, hot), BLOB)
-    solved = deal(contexts, groups).mapInArrow(_solve(width, groups), BLOB)
-    release(spark)
-    spans = work.where(F.col("kind") == SPANS).unionByName(materialize(solved, "spans"))
-    release(spark)
+    spans = own.write(deal(contexts, groups).mapInArrow(_solve(width, groups, hot_contexts, hold=hold), BLOB), "spans")
+    own.drop(work)
+    again, spans = spans.where(F.col("kind") == CTX), spans.where(F.col("kind") == SPANS)
+    if not again.isEmpty():
+        spans = spans.unionByName(own.write(deal(again, groups).mapInArrow(_solve(width, groups, hot_contexts, hold=hold, last_round=True), BLOB), "spans-again"))
+    return deal(base.mapInArrow(_row_blobs(groups), BLOB).unionByName(spans), groups)
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, group_bytes: int = 4 << 20, hot_contexts: int = 20_000, hold: int = 64 << 20) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``with_text`` also kept and spans.
+
+    Texts are UTF-8 bytes, null is empty. ``kept`` drops characters that a
+    removed span has cut apart. Rows repeated with one id count as one
+    document, so they do not remove each other; null ids come last and count
+    as one document. Other columns are ignored; an empty table gives no rows.
+    ``group_bytes``: about so much text is in a group, and as much context in
+    a bucket. ``hot_contexts``: an anchor with so many different contexts has
+    its windows dealt singly, at the latest when its bucket holds ``hold``
+    bytes; this changes where the work is done, not the result.
+    """
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, spans array<struct<start: long, end: long>>" if with_text else "")
-    out = deal(texts.unionByName(spans), groups).mapInArrow(_apply(width, with_text), schema)
+    out = _placed(id_text(docs, id_col, text_col), width, group_bytes, hot_contexts, hold).mapInArrow(_apply(width, with_text, None), schema)
     return out.select(id_out(), *out.columns[1:])
 
 
@@ -704,14 +799,20 @@ def brute_force(rows: list[tuple[int, bytes]], width: int = 50) -> dict[int, tup
     return out
 
 
-def cut(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, hot_contexts: int = 20_000, hold: int = 64 << 20) -> DataFrame:
     """``docs`` with repeats taken out of the texts; rows of which only blanks are left go, rows that had no more before stay.
 
-    All columns are kept as they are but the text. A text without repeats is
-    passed on untouched.
+    Every row is finished by itself, with its own text, and takes its other
+    columns along, so rows may share an id or have none. A null text comes
+    back empty; a text without repeats is as it was.
     """
-    cut_rows = remove_repeats(docs, width, id_col, text_col, with_text=True).where("n_removed > 0")
-    cut_rows = cut_rows.select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__n"])
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.octet_length(docs[text_col]) == F.col("__n"))
-    joined = docs.join(cut_rows, same, "left").where(F.col("__kept").isNull() | (F.trim(F.regexp_replace("__kept", r"\s+", " ")) != ""))
-    return joined.select(*[F.coalesce("__kept", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    others = [c for c in docs.columns if c != text_col]
+    plain = docs.select(
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(others)],
+    )
+    rest = plain.select(plain.columns[2:]).schema
+    carried = to_arrow_schema(rest)
+    out = _placed(plain, width, group_bytes, hot_contexts, hold).mapInArrow(_apply(width, True, carried), StructType([StructField("text", StringType()), *rest.fields]))
+    return out.select(*[F.col("text" if c == text_col else f"__{others.index(c)}").alias(c) for c in docs.columns])
