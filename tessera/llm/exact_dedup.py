@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NULL_ID, by_key, id_out, ints, materialize, raw, slices, text_mark
+from .common import NULL_ID, Workspace, by_key, id_out, ints, raw, slices
 
 #: What normalising deletes: the characters of [\x20\x09-\x0D].
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -32,28 +32,23 @@ RUN = "key int, run binary"
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 2048):
         found = [hashlib.sha256(t.translate(None, BLANKS)).digest() for t in raw(b.column("text"))]
-        marks = [b.column("mark")] if "mark" in b.schema.names else []
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(found, pa.binary()), *marks], ["id", "n", "digest", "mark"][: 3 + len(marks)])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(found, pa.binary())], ["id", "n", "digest"])
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
-    """(id, n, digest): code points of the text and SHA-256 of the text without blanks; ``marked``: and of the text itself (mark)."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, digest): code points of the text and SHA-256 of the text without blanks."""
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        *[text_mark(text_col).alias("mark")] * marked,
     )
-    return rows.mapInArrow(_digests, "id long, n long, digest binary" + ", mark binary" * marked)
+    return rows.mapInArrow(_digests, "id long, n long, digest binary")
 
 
-def merge(runs: list[np.ndarray]) -> np.ndarray:
-    """One sorted run of several: of equal digests the longest text's, then smallest, id stays; counts add up."""
-    r = np.concatenate(runs).astype(RECORD)  # joining makes the byte order native
-    if not len(r):
+def _unique(r: np.ndarray) -> np.ndarray:
+    """A sorted run with equal digests made one: the longest text's, then smallest, id stays; counts add up."""
+    if len(r) < 2:
         return r
-    d = r["d"].astype("<u8")
-    r = r[np.lexsort((r["id"], -r["n"], d[:, 3], d[:, 2], d[:, 1], d[:, 0]))]
     first = np.ones(len(r), bool)
     first[1:] = (r["d"][1:] != r["d"][:-1]).any(axis=1)
     at = np.flatnonzero(first)
@@ -62,6 +57,39 @@ def merge(runs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sort_run(r: np.ndarray) -> np.ndarray:
+    """Records as a run: sorted by digest, then longest text, then id, one for each digest."""
+    r = r.astype(RECORD)
+    d = r["d"].astype("<u8")
+    return _unique(r[np.lexsort((r["id"], -r["n"], d[:, 3], d[:, 2], d[:, 1], d[:, 0]))])
+
+
+def _merge_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two runs as one: every record finds its place by search in the other run, none is sorted again."""
+    if not len(a) or not len(b):
+        return a if len(a) else b
+    x, y = (np.ascontiguousarray(r["d"].astype(">u8")).view("S32").ravel() for r in (a, b))
+    at = np.searchsorted(x, y)  # where b's records come before equal ones of a
+    same = x[np.minimum(at, len(x) - 1)] == y
+    left = a[at[same]]
+    n, i = b["n"][same], b["id"][same]
+    at[same] += ~((n > left["n"]) | ((n == left["n"]) & (i < left["id"])))  # of equal digests the better one comes first
+    out = np.empty(len(a) + len(b), RECORD)
+    place = at + np.arange(len(b))
+    mine = np.ones(len(out), bool)
+    mine[place] = False
+    out[place], out[mine] = b, a
+    return _unique(out)
+
+
+def merge(runs: list[np.ndarray]) -> np.ndarray:
+    """Multiway merge of runs, in pairs, so that each record is moved once a level."""
+    runs = [r.astype(RECORD) for r in runs] or [np.zeros(0, RECORD)]
+    while len(runs) > 1:
+        runs = [_merge_two(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
 def _pieces(run: np.ndarray, label: int, rnd: int, radix: int, rounds: int) -> Iterator[tuple[int, bytes]]:
     """The parts of a run for the peers of ``label`` in round ``rnd``."""
     bits = radix.bit_length() - 1
@@ -101,7 +129,7 @@ def best_ids(found: DataFrame, radix: int = 4, rounds: int | None = None, run_ro
             r = np.zeros(b.num_rows, RECORD)
             r["d"] = np.frombuffer(b"".join(b.column("digest").to_pylist()), ">u8").reshape(-1, 4)
             r["n"], r["id"], r["c"] = ints(b.column("n")), ints(b.column("id")), 1
-            run.append(r)
+            run.append(sort_run(r))
             held += len(r)
             if held >= run_rows:
                 run[:] = [merge(run)]
@@ -128,22 +156,28 @@ def best_ids(found: DataFrame, radix: int = 4, rounds: int | None = None, run_ro
 
     runs = found.mapInArrow(local_runs, RUN)
     for rnd in range(1, rounds):
-        runs = runs.repartition(nodes, "key").sortWithinPartitions("key").mapInArrow(exchange(rnd), RUN)
-    return runs.repartition(nodes, "key").sortWithinPartitions("key").mapInArrow(ended, "digest binary, keep_id long, group_size long")
+        runs = runs.repartitionById(nodes, F.col("key")).sortWithinPartitions("key").mapInArrow(exchange(rnd), RUN)
+    return runs.repartitionById(nodes, F.col("key")).sortWithinPartitions("key").mapInArrow(ended, "digest binary, keep_id long, group_size long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when the same after deleting blanks; null counts as empty,
     and all empty texts are one group. Of equal texts the row with the most
     code points stays, then the smallest id; null ids come last. Rows repeated
     with one id count in group_size and share the fate of that id. Other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. Groups that hold more
+    than one row in ``heavy`` of all, of which there are less than ``heavy``,
+    are told to the rows by broadcast, so no task gets such a group.
     """
-    found = materialize(digests(docs, id_col, text_col), "digests")
-    kept = best_ids(found)
-    return found.join(kept, "digest").select(
+    own = Workspace(docs.sparkSession)
+    found = own.write(digests(docs, id_col, text_col), "digests")
+    best = own.write(best_ids(found), "groups")
+    most = max(1, found.count() // heavy)
+    large = F.broadcast(best.where(F.col("group_size") > most))
+    rest = found.join(large.select("digest"), "digest", "left_anti").join(best.where(F.col("group_size") <= most), "digest")
+    return found.join(large, "digest").unionByName(rest).select(
         id_out(),
         id_out("keep_id", "keep_id"),
         "group_size",
@@ -153,7 +187,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; a row is known by its id and text."""
-    found = materialize(digests(docs, id_col, text_col, marked=True), "digests")
-    kept = found.join(best_ids(found), "digest").where("id = keep_id").select(id_out("id", "__kept"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]) & (text_mark(text_col) == kept["__mark"]), "left_semi")
+    """``docs`` without the rows that ``exact_groups`` drops; a row is known by its id and text.
+
+    So rows that share an id, or have none, are judged by their texts; of
+    equal texts the kept id's rows stay, repeated ones too. All columns are
+    kept as they are; an empty table stays empty.
+    """
+    own = Workspace(docs.sparkSession)
+    found = own.write(digests(docs, id_col, text_col), "digests")
+    best = own.write(best_ids(found), "groups")
+    own.drop(found)
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    mark = F.unhex(F.sha2(F.translate(text, BLANKS.decode(), "").cast("binary"), 256))
+    best = best.select(id_out("keep_id", "__kept"), F.col("digest").alias("__mark"))
+    return docs.join(best, docs[id_col].cast("long").eqNullSafe(best["__kept"]) & (mark == best["__mark"]), "left_semi")
