@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_key, claim, id_out, id_text, ints, materialize, mix, portions, raw, release, slices, text_mark
+from .common import Workspace, by_key, claim, id_out, id_text, ints, mix, portions, raw, slices, text_mark
 from .components import components
 
 WORDS = 5
@@ -313,29 +313,30 @@ def _groups(docs: DataFrame, least: float, id_col: str, text_col: str, block: in
     A node is a text's words (digest), numbered once; ids only choose what
     stands for a class, so texts that share an id stay apart.
     """
+    own = Workspace(docs.sparkSession)
     base = id_text(docs, id_col, text_col).withColumn("mark", text_mark("text"))
-    signed = materialize(base.mapInArrow(_signed, "id long, mark binary, digest binary, bands array<long>"), "signatures")
+    signed = own.write(base.mapInArrow(_signed, "id long, mark binary, digest binary, bands array<long>"), "signatures")
     worded = signed.where(F.col("digest").isNotNull())
     reps = worded.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"))
-    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "first.id", "first.mark"), "representatives")
+    reps = own.write(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "first.id", "first.mark"), "representatives")
     firsts = signed.select("id", "mark", "bands").join(reps.select("node", "id", "mark"), ["id", "mark"])
-    firsts = materialize(firsts.select("node", "bands").dropDuplicates(["node"]), "firsts")
+    firsts = own.write(firsts.select("node", "bands").dropDuplicates(["node"]), "firsts")
     members = firsts.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(buckets, "buckets")
+    buckets = own.write(buckets, "buckets")
     inside = members.join(buckets, "bucket")
-    pairs = materialize(inside.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    pairs = own.write(inside.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
 
     # one text for each node that is a candidate, however many rows repeat it
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "id", "mark"), "node")
-    texts = materialize(base.join(needed, ["id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links = materialize(_verified(pairs, texts, least).distinct(), "verified")
+    texts = own.write(base.join(needed, ["id", "mark"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    links = own.write(_verified(pairs, texts, least).distinct(), "verified")
     labels = components(links)
 
     label = F.coalesce("label", "node").alias("label")
     placed = inside.where("n > 2").select("node", "bucket", "n").join(labels, "node", "left").select("node", "bucket", "n", label)
     torn = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x <> y").select("bucket", "n")
-    torn = materialize(torn, "torn")
+    torn = own.write(torn, "torn")
     again = members.join(torn, "bucket").join(texts, "node").join(labels, "node", "left").join(firsts.select("node", "bands"), "node")
     # a bucket beyond a block meets as pairs of blocks (i, j); i = j compares within a block
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -347,8 +348,8 @@ def _groups(docs: DataFrame, least: float, id_col: str, text_col: str, block: in
         F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"),
     )
     more = again.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(least), "a long, b long")
-    more = materialize(more, "second-look")
-    release(docs.sparkSession)
+    more = own.write(more, "second-look")
+    own.drop(firsts, buckets, pairs, texts, torn)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
