@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import claim, id_out, id_text, ints, materialize, raw, slices
+from .common import Workspace, claim, id_out, id_text, ints, sized
 from .token_ids import encoder
 
 
@@ -66,26 +66,31 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return placed
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """id, piece, start, length, ids_crc32 of each piece, with its task and its rank there among pieces of its length."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("tokens")
-        encode, end = encoder(vocabulary, pattern), np.array([end_id], "<u4").tobytes()
-        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in slices(batches, 512):
-            rows = []
-            for doc, text in zip(ints(b.column("id")).tolist(), raw(b.column("text")), strict=True):
-                data = encode(text.decode("utf-8", "replace")) + end
-                n = len(data) // 4
-                stop, k = n % capacity or capacity, 0
-                start = 0
-                while start < n:
-                    length = stop - start
-                    rows.append((doc, k, start, length, zlib.crc32(data[4 * start : 4 * stop]), task, seen[length]))
-                    seen[length] += 1
-                    start, stop, k = stop, stop + capacity, k + 1
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        encode = encoder(vocabulary, end_id)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for b in sized(batches):
+            ids, begin = encode(b.column("text"))
+            n = np.diff(begin)
+            parts = -(-n // capacity)
+            owner = np.repeat(np.arange(len(n)), parts)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+            stop = n[owner] - (parts[owner] - 1 - piece) * capacity  # the first piece takes what is left over
+            start = np.maximum(stop - capacity, 0)
+            length = stop - start
+            order = np.argsort(length, kind="stable")
+            which, first, count = np.unique(length[order], return_index=True, return_counts=True)
+            rank = np.empty(len(owner), np.int64)
+            rank[order] = np.arange(len(owner)) - np.repeat(first - seen[which], count)
+            seen[which] += count
+            data = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
+            low = begin[:-1][owner] + start
+            crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(low.tolist(), (low + length).tolist(), strict=True)]
+            cols = [ints(b.column("id"))[owner], piece, start, length, crc, np.full(len(owner), task), rank]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], NAMES)
 
     return id_text(docs, id_col, text_col).mapInArrow(step, ", ".join(f"{n} long" for n in NAMES))
@@ -94,18 +99,20 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id
 NAMES = ["id", "piece", "start", "length", "ids_crc32", "task", "local"]
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its ids and ``end_id``; a null text is empty and gives one
-    piece of length 1. A document longer than ``capacity`` is cut so that all
-    pieces but the first are full. Equal lengths take places in any order;
-    repeated rows are packed each; other columns are ignored; an empty table
-    gives no rows. The pieces are written once to the shared folder, so ranks
-    hold however often a task is run again.
+    A document is its ids, added tokens of the vocabulary among them, and
+    ``end_id``; a null text is empty and gives one piece of length 1. A
+    document longer than ``capacity`` is cut so that all pieces but the first
+    are full. Equal lengths take places in any order; repeated rows and rows
+    without an id are packed each; other columns are ignored; an empty table
+    gives no rows. Texts pass in batches of a few MB, a longer one alone. The
+    pieces are written once to the shared folder, so ranks hold however often
+    a task is run again.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, vocabulary, pattern, capacity, end_id, id_col, text_col), "pieces")
+    cut = Workspace(spark).write(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
     by_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

@@ -33,11 +33,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(load(spark, sf_dir, "documents"), JSON_50K, PATTERN, capacity=1024, end_id=2)
+    return packing.pack(load(spark, sf_dir, "documents"), JSON_50K, capacity=1024, end_id=2)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_table(load(spark, sf_dir, "documents"), JSON_50K, PATTERN, end_id=2)
+    return token_files.token_table(load(spark, sf_dir, "documents"), JSON_50K, end_id=2)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import claim, id_out, id_text, ints, raw, shared_path, slices
+from .common import Workspace, claim, id_out, id_text, ints, sized, slices, store
 from .token_ids import encoder
 
 BLOCK, LANES = 256, 4
@@ -129,41 +129,46 @@ class Shard:
         return v.ravel()[lo - a * BLOCK : hi - a * BLOCK].astype("<u4")
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20) -> None:
     """Encode every text, add ``end_id``, and write shards to ``path`` in ascending id.
 
-    Documents are dealt by ranges of ids, so part p holds smaller ids than
-    part p + 1, and are sorted within; texts, not ids, cross the network. A
-    document is never split, so a shard holds ``shard_ids`` ids or one
-    document more. Null texts are empty (one id), null ids come last, rows
-    with one id are ordered by text.
+    Documents are dealt by ranges of (id, hash of the text), so part p holds
+    no larger ids than part p + 1, and are sorted within; texts, not ids,
+    cross the network. A document is never split, so a shard holds
+    ``shard_ids`` ids or one document more. Null texts are empty (one id),
+    null ids come last, rows with one id are ordered by the hash of their
+    texts. Added tokens of the vocabulary in a text have their own ids.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("tokens")
-        encode, end = encoder(vocabulary, pattern), np.array([end_id], "<u4").tobytes()
-        part, shard, before, size, held, names, lengths = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
+        encode = encoder(vocabulary, end_id)
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def full():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            image = write_shard(ids, np.array(names, np.int64), np.array(lengths, np.int64), before)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([image], pa.binary())], ["part", "shard", "ids", "image"])
-
-        for b in slices(batches, 512):
-            for doc, text in zip(ints(b.column("id")).tolist(), raw(b.column("text")), strict=True):
-                data = encode(text.decode("utf-8", "replace")) + end
-                held.append(data)
-                names.append(doc)
-                lengths.append(len(data) // 4)
-                size += len(data) // 4
+            ids, names, lengths = map(np.concatenate, zip(*held, strict=True))
+            image = write_shard(ids, names, lengths, before)
+            return len(ids), pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], ["part", "shard", "ids", "image"])
+
+        size = 0
+        for b in sized(batches):
+            ids, begin = encode(b.column("text"))
+            names, low = ints(b.column("id")), 0
+            while low < len(names):  # cut where a shard is full
+                high = min(len(names), int(np.searchsorted(begin[1:], begin[low] + shard_ids - size)) + 1)
+                held.append((ids[begin[low] : begin[high]], names[low:high], np.diff(begin[low : high + 1])))
+                size, low = size + int(begin[high] - begin[low]), high
                 if size >= shard_ids:
-                    yield full()
-                    shard, before, size, held, names, lengths = shard + 1, before + size, 0, [], [], []
+                    n, batch = full()
+                    yield batch
+                    shard, before, size, held = shard + 1, before + n, 0, []
         if held:
-            yield full()
+            yield full()[1]
 
-    rows = id_text(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
-    rows.mapInArrow(step, SHARD).write.option("parquet.compression", "uncompressed").parquet(path)
+    rows = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    rows = rows.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").select("id", "text")
+    store(rows.mapInArrow(step, SHARD), path, **{"parquet.compression": "uncompressed"})
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -195,8 +200,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return out.select(id_out(), *[c for c in out.columns if c != "id"])
 
 
-def token_table(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``write_tokens`` to the shared folder, then ``read_tokens`` of it."""
-    path = shared_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, vocabulary, pattern, end_id, id_col, text_col)
+    path = Workspace(docs.sparkSession).path("tokens")
+    write_tokens(docs, path, vocabulary, end_id, id_col, text_col)
     return read_tokens(docs.sparkSession, path)

@@ -1,30 +1,130 @@
-"""Ids of a vocabulary of the tokenizers library, for packing and for files."""
+"""Ids of a vocabulary of the tokenizers library, for packing and for files.
+
+Texts are encoded many at a time. A single space between two characters that
+are no white space always begins a pre-token, and so does a line break there,
+so a text is its words one after the other. Arrow cuts a batch of texts into
+words and numbers the distinct ones; only words that this worker has not met
+are merged, all of them in one call of the library. The ids of the texts are
+then gathered by arrays. Texts for which the cut is not as simple (other white
+space, runs of it, added tokens such as ``<|endoftext|>``) are encoded whole by
+the library.
+"""
 
 from __future__ import annotations
 
-import struct
+import os
+import re
 from functools import lru_cache
+from itertools import repeat
 
-from tokenizers import Tokenizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import remembered
-from .pretokens import ChunkEncoder, mapped
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+from tokenizers import Tokenizer  # noqa: E402
+
+from .common import remembered  # noqa: E402
+from .pretokens import BYTE_CHARS, OTHER_WS  # noqa: E402
+
+#: White space that a text cannot be cut at by its single spaces and line breaks.
+_HARD = "^[ \n]| $|  | \n|\n |\n\n|[\t\r\x0b\x0c" + OTHER_WS + "]"
+
+
+def valid_text(column: pa.Array) -> pa.Array:
+    """The column as valid UTF-8, with replacement characters where it is not; null is empty."""
+    column = pc.fill_null(column, "")
+    try:
+        column.validate(full=True)
+        return column
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()], pa.string())
 
-@lru_cache(maxsize=1)
-def encoder(path: str, pattern: str) -> ChunkEncoder:
-    """Whole text to packed ids, one for each worker and vocabulary.
 
-    The library's own model merges every pre-token met for the first time;
-    strings of special tokens are ordinary text.
-    """
-    model = Tokenizer.from_file(path).model
+class BatchEncoder:
+    """Ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, each followed by ``end_id``."""
 
-    def pretoken(text: str) -> bytes:
-        ids = [t.id for t in model.tokenize(mapped(text.encode()))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000, at_once: int = 20_000):
+        self.tokenizer, self.end, self.most, self.at_once = Tokenizer.from_file(path), end_id, most, at_once
+        added = {str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.hard = "|".join([_HARD, *map(re.escape, sorted(added))])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids with which a word or a line begins
+        for token, i in vocabulary.items():
+            self.begins[i] = token[0] == BYTE_CHARS[32] or token == BYTE_CHARS[10]
+        self._reset()
 
-    return ChunkEncoder(pattern, pretoken)
+    def _reset(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.count = np.zeros(1 << 12, np.int64)
+        self.start = np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, np.uint32)
+        self.used = 0
+        self._learn(["\n"])
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words not met before; a word stands behind a space, or begins with a line break."""
+        found = self.whole("".join(w if w[0] == "\n" else " " + w for w in words))
+        at = np.flatnonzero(self.begins[found])
+        if len(at) != len(words):
+            single = [self.whole(w if w[0] == "\n" else " " + w) for w in words]
+            found, size = np.concatenate(single), np.array([len(x) for x in single])
+            at = np.cumsum(size) - size
+        n, first = len(words), len(self.known)
+        for name, need in (("count", first + n), ("start", first + n), ("ids", self.used + len(found))):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, len(held)), held.dtype)]))
+        self.count[first : first + n] = np.diff(np.append(at, len(found)))
+        self.start[first : first + n] = self.used + at
+        self.ids[self.used : self.used + len(found)] = found
+        self.used += len(found)
+        self.known.update(zip(words, range(first, first + n), strict=True))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin (one entry more than texts)."""
+        if len(self.known) > self.most:  # a bound on memory; what it held is made again when met
+            self._reset()
+        texts = valid_text(column)
+        hard = pc.match_substring_regex(texts, self.hard)
+        easy = pc.if_else(hard, "", texts) if pc.any(hard).as_py() else texts
+        # every text begins with a line break here, whose id becomes the end of the text before
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", easy, ""), "\n", " \n"), " ")
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        number[new] = len(self.known) + np.arange(len(new))
+        for i in range(0, len(new), self.at_once):
+            self._learn(distinct[new[i : i + self.at_once]].tolist())
+        word = number[words.indices.to_numpy()]
+        n = self.count[word]
+        stop = np.cumsum(n)
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        begin = np.append(0, stop)[first]
+        flat = self.ids[np.repeat(self.start[word] - stop + n, n) + np.arange(len(n) and stop[-1])]
+        flat[begin[:-1]] = self.end
+        flat = np.append(flat[1:], np.uint32(self.end)) if len(flat) else flat
+        slow = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
+        if len(slow):
+            pieces, low, size = [], 0, np.diff(begin)
+            for i in slow.tolist():
+                own = self.whole(texts[i].as_py())
+                pieces += [flat[low : begin[i]], own]
+                low = begin[i]
+                size[i] += len(own)
+            flat, begin = np.concatenate([*pieces, flat[low:]]), np.append(0, np.cumsum(size))
+        return flat, begin
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> BatchEncoder:
+    """The one of this worker, so that words met once outlive a task."""
+    return BatchEncoder(path, end_id)
 
 
 remembered(encoder.cache_clear)
