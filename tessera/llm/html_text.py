@@ -21,22 +21,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NULL_ID, id_out, raw, slices
+from .common import NULL_ID, id_out, raw, sized
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+'|["'])*?)>|[^<]++|<""", re.S)
+#: Quantifiers never give back, so a page costs its length; a tag that the end of the page cuts off ends there.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|name)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 #: Kinds of elements (fixed values: HTML names).
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "xmp"}
-DROPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "option", "textarea", "button", "head", "title", "noembed", "input", "datalist"}
+DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "select", "option", "textarea", "button", "head", "title", "noembed", "input", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "nobr"}
+#: Elements that begin and end a block; any other, also an unknown one, is part of the line.
+BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "listing", "main", "menu", "nav", "ol", "optgroup", "p", "plaintext", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul", "xmp"}
 FENCES = {"article", "main", "section", "div", "body", "html", "td", "th", "table", "ul", "ol", "dl", "aside", "nav", "header", "footer", "form", "blockquote", "figure", "fieldset"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": set()}
 BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 GOOD_TAGS = {"article", "main"}
 _BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar|side|footer|foot|masthead|topbar|toolbar|breadcrumbs?|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|share|sharing|social|related|recommend\w*|subscribe|subscription|newsletter|signup|login|search\w*|pagination|pager|copyright|legal|disclaimer|widget|tags?|skip\w*|form|outbrain|taboola|complementary|navigation|contentinfo|dialog)(?:[\s_-]|$)", re.I)
-_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|reply|replies|disqus\w*|discussion|reviews?|reader-comments?|responses)(?:[\s_-]|$)", re.I)
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|reply|replies|disqus\w*|discussion|reviews|reader-comments?|responses)(?:[\s_-]|$)", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|post|story|main|body|text|prose|blog)(?:[\s_-]|$)", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|head|banner|masthead)(?:[\s_-]|$)", re.I)
 
@@ -95,9 +97,40 @@ def _entered(tag: str, attrs: str, up: _Open, number: int) -> _Open:
     return _Open(tag, number, flags if flags != up.flags else up.flags, number if hint else fence, up.dropped or tag in DROPPED)
 
 
+class _Stack:
+    """Open elements, with the places of each tag, of fences and of blocks, so that nothing is searched for."""
+
+    def __init__(self):
+        self.open = [_Open("", 0, _NONE, 0, False)]
+        self.of: dict[str, list[int]] = {}
+        self.fences: list[int] = []
+        self.blocks = [0]
+
+    def push(self, e: _Open) -> None:
+        at = len(self.open)
+        self.open.append(e)
+        self.of.setdefault(e.tag, []).append(at)
+        if e.tag in FENCES:
+            self.fences.append(at)
+        if e.tag in BLOCKS:
+            self.blocks.append(at)
+
+    def last(self, tag: str) -> int:
+        places = self.of.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, at: int) -> None:
+        for e in self.open[at:]:
+            self.of[e.tag].pop()
+        del self.open[at:]
+        for places in (self.fences, self.blocks):
+            while places and places[-1] >= at:
+                places.pop()
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; scripts, styles and controls are not text."""
-    stack = [_Open("", 0, _NONE, 0, False)]
+    stack = _Stack()
     out: list[Block] = []
     held: list[str] = []
     linked = count = 0
@@ -108,14 +141,14 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                top = next((s for s in reversed(stack) if s.tag not in INLINE), stack[0])
-                out.append(Block(text, top.number, len(stack), top.fence, _features(text, linked, top)))
+                top = stack.open[stack.blocks[-1]]
+                out.append(Block(text, top.number, len(stack.open), top.fence, _features(text, linked, top)))
         linked = 0
 
     def leave(at: int) -> None:
-        if any(s.tag not in INLINE for s in stack[at:]):
+        if stack.blocks[-1] >= at:
             flush()
-        del stack[at:]
+        stack.cut(at)
 
     pos, end = 0, len(page)
     while pos < end:
@@ -124,27 +157,24 @@ def blocks(page: str) -> list[Block]:
         tag = m[2]
         if tag is None:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
-                if not stack[-1].dropped:
+                if not stack.open[-1].dropped:
                     text = html.unescape(m[0])
                     held.append(text)
-                    if any(s.tag == "a" for s in stack):
+                    if stack.last("a"):
                         linked += len(text.strip())
             continue
         tag = tag.lower()
+        block = tag in BLOCKS
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if tag in INLINE and any(s.tag in FENCES for s in stack[at + 1 :]):
-                at = 0
-            if at:
+            at = stack.last(tag)
+            if at and not (not block and stack.fences and stack.fences[-1] > at):
                 leave(at)
-            elif tag not in INLINE:
+            elif block:
                 flush()
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
             pos = close.end() if close else end
-            if tag not in INLINE:
-                flush()
             continue
         if tag in VOID:
             if tag == "br":
@@ -152,22 +182,22 @@ def blocks(page: str) -> list[Block]:
             elif tag == "hr":
                 flush()
             continue
-        if tag not in INLINE:
+        if block or tag == "option":
             flush()
-            ends = CLOSES.get(tag, ()) if tag != "p" else ()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or stack[i].tag in ends:
-                    leave(i)
-                    if stack[-1].tag not in ends:
-                        break
-                elif stack[i].tag in FENCES:
+            ends = CLOSES.get(tag, ())
+            while True:
+                at = max(stack.last("p"), *map(stack.last, ends), 0) if block else 0
+                if not at or stack.fences and stack.fences[-1] > at:
+                    break
+                leave(at)
+                if stack.open[-1].tag not in ends:
                     break
-            if tag == "body" or stack[-1].tag == "head" and tag in FENCES:
-                stack[1:] = [s for s in stack[1:] if s.tag not in ("head", "title")]
+            if (at := stack.last("head")) and (tag == "body" or tag in FENCES):
+                stack.cut(at)
         count += 1
-        if m[3].endswith("/") and tag not in INLINE and tag in ("svg", "math"):
+        if m[3].endswith("/") and tag == "svg":
             continue
-        stack.append(_entered(tag, m[3], stack[-1], count))
+        stack.push(_entered(tag, m[3], stack.open[-1], count))
     flush()
     return out
 
@@ -208,41 +238,65 @@ def max_flow_labels(gain: list[float], edges: dict[tuple[int, int], float]) -> l
                 g[j] += c if label[i] else -c
                 todo.append(j)
             near[i].clear()
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        source, sink = n, n + 1
-        cap: list[dict[int, float]] = [dict(x) for x in near] + [{}, {}]
-        for i in rest:
-            if g[i] > 0:
-                cap[source][i] = g[i]
-                cap[i].setdefault(source, 0.0)
-            elif g[i] < 0:
-                cap[i][sink] = -g[i]
-                cap[sink].setdefault(i, 0.0)
-        while True:
-            came = {source: source}
-            line = deque([source])
-            while line and sink not in came:
-                i = line.popleft()
-                for j, c in cap[i].items():
-                    if c > 1e-9 and j not in came:
-                        came[j] = i
+    for i in range(n):
+        if label[i] is None:  # what is left falls apart into pieces that no edge joins
+            piece, line = {i}, [i]
+            while line:
+                for j in near[line.pop()]:
+                    if j not in piece:
+                        piece.add(j)
                         line.append(j)
-            if sink not in came:
-                break
-            path, j = [], sink
-            while j != source:
-                path.append((came[j], j))
-                j = came[j]
-            push = min(cap[a][b] for a, b in path)
-            for a, b in path:
-                cap[a][b] -= push
-                cap[b][a] = cap[b].get(a, 0.0) + push
-        for i in rest:
-            label[i] = i in came
+            source = _source_side(sorted(piece), g, near)
+            for j in piece:
+                label[j] = j in source
     return label
 
 
+def _source_side(nodes: list[int], gain: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Nodes on the source side of the minimum cut: flow along shortest paths, all of one length at a time."""
+    source, sink, least = -1, -2, 1e-9
+    cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes}
+    cap[source], cap[sink] = {}, {}
+    for i in nodes:
+        if gain[i] > 0:
+            cap[source][i], cap[i][source] = gain[i], 0.0
+        elif gain[i] < 0:
+            cap[i][sink], cap[sink][i] = -gain[i], 0.0
+    while True:
+        level, line = {source: 0}, deque([source])
+        while line:
+            i = line.popleft()
+            for j, c in cap[i].items():
+                if c > least and j not in level:
+                    level[j] = level[i] + 1
+                    line.append(j)
+        if sink not in level:
+            return {i for i in level if i >= 0}
+        edges = {i: iter(cap[i]) for i in level}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                push = min(cap[x][y] for x, y in zip(path, path[1:]))  # noqa: B905
+                cutoff = len(path)
+                for k in range(len(path) - 2, -1, -1):
+                    x, y = path[k], path[k + 1]
+                    cap[x][y] -= push
+                    cap[y][x] = cap[y].get(x, 0.0) + push
+                    if cap[x][y] <= least:
+                        cutoff = k + 1
+                del path[cutoff:]
+                edges[path[-1]] = iter(list(cap[path[-1]]))
+                continue
+            for j in edges[i]:
+                if cap[i][j] > least and level.get(j) == level[i] + 1:
+                    path.append(j)
+                    break
+            else:
+                path.pop()
+                level[i] = -1
+
+
 def main_text(page: str, weights: np.ndarray = PRIOR, tie: float = 1.5) -> str:
     """Blocks on the content side of the minimum cut, joined by line breaks."""
     found = blocks(page)
@@ -285,7 +339,7 @@ def fit(pages: list[str]) -> np.ndarray:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_rows: int = 300) -> np.ndarray:
-    """``fit`` on about ``train_rows`` pages, spread by a hash of the identifier."""
+    """``fit`` on about ``train_rows`` pages, spread by a hash of the identifier; null pages teach nothing."""
     every = max(1, pages.select(id_col).count() // train_rows)
     rows = pages.where(F.col(html_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)).select(id_col, html_col).limit(2 * train_rows).collect()
     return fit([r[1] for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))])
@@ -296,13 +350,16 @@ def extract(pages: DataFrame, weights: np.ndarray = PRIOR, id_col: str = "page_i
 
     A null or empty page has an empty text. White space inside a block becomes
     one space, character references are decoded, blocks are joined by a line
-    break. Pages are independent: nothing is shuffled and repeated rows give
-    equal rows; other columns are ignored.
+    break. The whole page is read, in time that grows with its length however
+    its tags are nested or cut off; where two labellings cost the same, what
+    is not needed on the content side is boilerplate. Pages are independent:
+    nothing is shuffled, repeated rows give equal rows, rows without an id are
+    read like others; other columns are ignored; an empty table gives no rows.
     """
     held = np.asarray(weights)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
+        for b in sized(batches, "html", rows=256):
             texts = [main_text(t.decode("utf-8", "replace"), held) for t in raw(b.column("html"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
