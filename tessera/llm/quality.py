@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import crc_bucket, id_out, id_text, raw, slices
+from .common import crc_bucket, id_out, id_text, raw, sized
 
 STATS = ["chars", "words", "word_length", "distinct_words", "repeated_next", "upper_words", "symbols", "digits", "commas", "stops", "blanks", "lines", "distinct_lines", "ends_odd"]
 _SYMBOLS = np.zeros(256, np.uint8)
@@ -45,7 +45,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id and STATS of each row."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024):
+        for b in sized(batches):
             x = np.array([statistics(t) for t in raw(b.column("text"))], float).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x[:, j]) for j in range(len(STATS)))], ["id", *STATS])
 
@@ -125,7 +125,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, l1: float
     for _ in range(trees):
         rows = np.sort(rng.choice(len(y), max(1, len(y) // 2), replace=False))
         value = np.zeros(len(y))
-        _tree(bins, edges, y - 1 / (1 + np.exp(-z)), rows, depth, max(5, len(y) // 1000), (), new := [], value)
+        _tree(bins, edges, y - 1 / (1 + np.exp(-z)), rows, depth, max(3, len(y) // 1000), (), new := [], value)
         paths += new
         z += 0.5 * value / max(1e-3, mean * (1 - mean))
         z = np.clip(z, -8, 8)
@@ -151,8 +151,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, l1: float
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 12_000, folds: int = 5) -> Ensemble:
-    """Fit on about ``train_rows`` labelled rows at most, spread by a hash; rows of fold 0 are never used, nor null labels."""
+    """Fit on about ``train_rows`` labelled rows at most, spread by a hash; rows of fold 0 are never used, nor null ids or labels.
+
+    Of several labels of one document the largest counts; a document that is
+    repeated counts as often as it is there. Null texts have a label like any
+    other. Without labels the model is a constant.
+    """
     usable = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().where(crc_bucket(F.col("__id"), folds) != 0)
+    usable = usable.groupBy("__id").agg(F.max("__y").alias("__y"))
     every = max(1, usable.count() // train_rows)
     chosen = usable.where(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0).limit(2 * train_rows)
     own = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi")  # train_rows bounds the broadcast
@@ -165,7 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Ensemble, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted for each row, empty and null texts too; nothing is shuffled.
 
-    Without any label the model is a constant: 0.5, or the share of label 1.
+    Rows are independent: repeated rows give equal rows, rows without an id
+    are scored and are in the fold of the empty identifier. Whole texts are
+    read, whatever their length. Other columns are ignored; an empty table
+    gives no rows. Without any label the model is a constant: 0.5, or the
+    share of label 1.
     """
     out = with_statistics(docs, id_col, text_col).select(id_out(), model.column().alias("score"))
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
