@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import claim, crc_bucket, id_out, id_text, ints, raw, remembered, slices
+from .common import claim, crc_bucket, id_out, id_text, raw, remembered, sized
 
 #: First code point and name of each script range (fixed values, Unicode blocks); "" is no one script.
 SCRIPTS = [
@@ -159,10 +159,10 @@ class Labeller:
         longest, states = int(sizes[0]) if len(sizes) else 0, len(self.model.langs)
         active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), "right")
         moved = np.zeros((len(flat), states), bool)
-        best = np.zeros(len(flat), np.int8)
-        label = np.zeros(len(flat), np.int8)
+        best = np.zeros(len(flat), np.int16)
+        label = np.zeros(len(flat), np.int16)
         value = np.zeros((len(sizes), states), np.float32)
-        last = np.zeros(len(sizes), np.int8)
+        last = np.zeros(len(sizes), np.int16)
         for t in range(longest):
             k = active[t]
             at = start[:k] + t
@@ -189,12 +189,18 @@ class Labeller:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 3000, folds: int = 5) -> Model:
-    """Fit on about ``train_rows`` labelled rows at most, spread by a hash of the identifier; rows of fold 0 are never read."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 750, folds: int = 5) -> Model:
+    """Fit on about ``train_rows`` labelled rows of each language at most, spread by a hash of the identifier.
+
+    So which languages are known does not depend on the size of the table.
+    Rows of fold 0 are never read; rows without an id are in the fold of the
+    empty identifier; null texts and null languages teach nothing.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_bucket(F.col(id_col), folds) != 0))
-    every = max(1, usable.select(id_col).count() // train_rows)
-    rows = usable.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(text_col, lang_col).limit(2 * train_rows)
-    return fit([(r[0], r[1]) for r in rows.collect()])
+    every = {r[0]: max(1, r[1] // train_rows) for r in usable.groupBy(lang_col).count().collect()}  # a row for each language
+    rate = F.create_map(*[F.lit(x) for pair in every.items() for x in pair])[F.col(lang_col)] if every else F.lit(1)
+    rows = usable.where(F.pmod(F.xxhash64(id_col), rate) == 0).select(text_col, lang_col).limit(2 * train_rows * max(1, len(every)))
+    return fit(sorted((r[0], r[1]) for r in rows.collect()))
 
 
 _labellers: dict[str, Labeller] = {}
@@ -218,7 +224,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     it. A text that is null or has no letter is ``und`` with score 0, and so
     is every text if nothing was learned. Ties go to the first language by
     name. Rows are independent: nothing is shuffled, repeated rows give equal
-    rows.
+    rows, rows without an id are labelled like others. Whole texts are read, a
+    few MB at a time and a longer one alone. Other columns are ignored; an
+    empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # as large as the trigrams of the languages, not as the corpus
     key = uuid.uuid4().hex
@@ -226,7 +234,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         labeller = _labeller(key, m, penalty)
-        for b in slices(batches, 4096):
+        for b in sized(batches):
             texts = [t.decode("utf-8", "replace") for t in raw(b.column("text"))] if m.langs else [""] * b.num_rows
             lang, score, parts = [], [], []
             for label, size in labeller.label(texts):
@@ -249,24 +257,29 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, penalty: float = 8.0) -> DataFrame:
-    """``docs`` without texts that are ``und`` or whose main language has less than ``least`` of the letters.
+    """``docs`` without texts that have no letter (null ones too), or whose main language has less than ``least`` of the letters that it could have.
 
-    The label is computed beside each row, so whole rows pass once and
-    nothing is shuffled or joined.
+    Letters of scripts that no learned language uses say nothing against a
+    text, so a language that was not learned is no reason to drop it. The
+    label is computed beside each row: whole rows pass once, with all their
+    columns, and nothing is shuffled or joined. Repeated rows share their
+    fate; an empty table stays empty.
     """
     held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
 
     def step(batches):
         m = held.value
         labeller = _labeller(key, m, penalty)
-        for b in slices(batches, 1024):
-            texts = [(t or b"").decode("utf-8", "replace") for t in raw(b.column(at))] if m.langs else []
+        for b in sized(batches, at):
+            texts = [(t or b"").decode("utf-8", "replace") for t in raw(b.column(at))]
+            if not m.langs:
+                yield b.filter(pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_()))
+                continue
             good = []
             for label, size in labeller.label(texts):
-                count = np.bincount(label, size[:, 1], len(m.langs))
-                good.append(bool(size[:, 0].sum() and count.max() >= least * size[:, 0].sum()))
-            yield b.filter(pa.array(good if m.langs else [False] * b.num_rows, pa.bool_()))
+                count, known = np.bincount(label, size[:, 1], len(m.langs)), size[:, 1].sum()
+                good.append(bool(size[:, 0].sum() and count.max() >= least * known))
+            yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(step, docs.schema)
