@@ -3,19 +3,24 @@
 import base64
 import collections
 import hashlib
+import itertools
+import math
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, components, exact_dedup, html_text, knn, language_id, near_dedup, packing, pretokens, quality, queries, suffix_dedup, token_files
-from tessera.llm.common import load
+from tessera.llm import bpe, common, components, exact_dedup, html_text, knn, language_id, near_dedup, packing, pretokens, quality, queries, suffix_dedup, token_files, token_ids
+from tessera.llm.common import Workspace, load
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards mix potions at midnight near an old stone bridge"
 TEXTS = [
@@ -61,7 +66,6 @@ def ranks():
 
 def reference_ids(texts):
     t = Tokenizer.from_file(queries.JSON_50K)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 2], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -90,17 +94,48 @@ def test_chunks_agree_with_the_pattern():
         assert [t for i, c in enumerate(cut) for t in find(" " * (i > 0) + c)] == find(text), repr(text)
 
 
-def test_token_files(odd, none):
-    got = [tuple(r) for r in token_files.token_table(odd, queries.JSON_50K, queries.PATTERN).orderBy("start").collect()]
+def test_batch_encoder():
+    """Against the library at its defaults: odd white space, added tokens, batches of any size."""
+    rng = random.Random(1)
+    parts = ["a", "'s", " ", "  ", "\n", " ", " ", "1", ".", "é", "\x1c", "\x85", "日", "²", "<|endoftext|>", "\t", "\r\n", "word", "the", "\u3000", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["", "\n", "\n\n", " ", "a\n", "a\n\nb", None]
+    encode = token_ids.BatchEncoder(queries.JSON_50K, 2, most=500, at_once=50)
+    want = reference_ids(texts)
+    for step in (1, 7, 900):
+        for i in range(0, len(texts), step):
+            ids, begin = encode(pa.array(texts[i : i + step], pa.string()))
+            assert len(ids) == begin[-1]
+            for j, w in enumerate(want[i : i + step]):
+                assert (ids[begin[j] : begin[j + 1]] == w).all() and begin[j + 1] - begin[j] == len(w), texts[i + j]
+    bad = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 3], "<i4").tobytes()), pa.py_buffer(b"a\xffb")])
+    assert encode(bad)[0].tolist() == reference_ids(["a\ufffdb"])[0].tolist()
+
+
+def test_token_files(spark, odd, none):
+    got = [tuple(r) for r in token_files.token_table(odd, queries.JSON_50K).orderBy("start").collect()]
     rows = [*TEXTS, LONG]
     ids = reference_ids([t for _, t, _ in rows])
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, (rows[k][1] or "").encode()))
+    marks = [r[0] for r in spark.createDataFrame([(k, t or "") for k, (_, t, _) in enumerate(rows)], "k int, t string").orderBy("k").select(F.xxhash64("t")).collect()]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, marks[k]))
     at, want = 0, []
     for k in order:
         want.append((rows[k][0], at, len(ids[k]), zlib.crc32(ids[k].tobytes())))
         at += len(ids[k])
     assert got == want
-    assert token_files.token_table(none, queries.JSON_50K, queries.PATTERN).count() == 0
+    assert token_files.token_table(none, queries.JSON_50K).count() == 0
+
+
+def test_token_files_in_small_shards(spark):
+    docs = spark.range(300).select((F.lit(299) - F.col("id")).alias("doc_id"), F.expr("repeat(concat('word', id, ' '), cast(id % 40 as int))").alias("text")).repartition(4)
+    path = Workspace(spark).path("shards")
+    token_files.write_tokens(docs, path, queries.JSON_50K, shard_ids=500)
+    got = token_files.read_tokens(spark, path, with_ids=True).orderBy("doc_id").collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    at = 0
+    for r, ids in zip(got, reference_ids([texts[i] for i in range(300)]), strict=True):
+        assert (r["start"], r["n_tokens"], list(r["ids"])) == (at, len(ids), ids.tolist())
+        at += len(ids)
+    assert spark.read.parquet(path).count() > 10
 
 
 def test_shards_round_trip():
@@ -120,7 +155,7 @@ def test_packing(odd, none):
     ids = collections.defaultdict(list)
     for (i, _, _), x in zip(rows, reference_ids([t for _, t, _ in rows]), strict=True):
         ids[i].append(x)
-    got = packing.pack(odd, queries.JSON_50K, queries.PATTERN).collect()
+    got = packing.pack(odd, queries.JSON_50K).collect()
     total = sum(len(x) for v in ids.values() for x in v)
     assert sum(r["length"] for r in got) == total
     for r in got:
@@ -136,7 +171,7 @@ def test_packing(odd, none):
             at += length
         assert at <= 1024
     assert len(full) <= -(-total // 1024) + 1
-    assert packing.pack(none, queries.JSON_50K, queries.PATTERN).count() == 0
+    assert packing.pack(none, queries.JSON_50K).count() == 0
 
 
 def test_plan_is_best_fit():
@@ -171,6 +206,27 @@ def test_exact_dedup(odd, none):
     assert exact_dedup.drop_copies(odd).columns == odd.columns
 
 
+def test_runs_merge_without_sorting_again():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        runs, every = [], []
+        for _ in range(rng.integers(0, 6)):
+            r = np.zeros(rng.integers(0, 40), exact_dedup.RECORD)
+            r["d"] = rng.integers(0, 3, (len(r), 4))
+            r["n"], r["id"], r["c"] = rng.integers(0, 3, len(r)), rng.integers(0, 9, len(r)), 1
+            every += [(tuple(d), -n, i) for d, n, i in zip(r["d"].tolist(), r["n"].tolist(), r["id"].tolist(), strict=True)]
+            runs.append(exact_dedup.sort_run(r))
+        got = exact_dedup.merge(runs)
+        want = {}
+        for d, n, i in sorted(every, reverse=True):
+            want[d] = (n, i, want.get(d, (0, 0, 0))[2] + 1)
+        assert [(tuple(r["d"].tolist()), -r["n"], r["id"], r["c"]) for r in got] == [(d, *want[d]) for d in sorted(want)]
+
+
+def test_exact_dedup_large_groups(odd):
+    assert plain(map(tuple, exact_dedup.exact_groups(odd, heavy=4).collect())) == plain(map(tuple, exact_dedup.exact_groups(odd).collect()))
+
+
 def test_exact_dedup_rounds(spark):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise((F.col("id") % 700).cast("string")).alias("text")).repartition(7)
     for radix, rounds in ((2, 3), (4, 2), (16, 1)):
@@ -192,7 +248,7 @@ def test_suffix_array():
         assert [text[p : p + 8] for p in some] == sorted(text[p : p + 8] for p in np.flatnonzero(wanted)) or 0 in text
 
 
-@pytest.mark.parametrize("more", [{}, {"hot_contexts": 3, "group_bytes": 2000}])
+@pytest.mark.parametrize("more", [{}, {"hot_contexts": 3, "group_bytes": 2000, "hold": 500}])
 def test_suffix_dedup(odd, none, more):
     rows = [(i, (t or "").encode()) for i, t, _ in [*TEXTS, LONG] if i is not None]
     want = suffix_dedup.brute_force(rows)
@@ -202,7 +258,7 @@ def test_suffix_dedup(odd, none, more):
         assert tuple(r)[1:5] == want[r["doc_id"]], r["doc_id"]
     assert suffix_dedup.remove_repeats(odd).count() == len(TEXTS) + 1
     assert suffix_dedup.remove_repeats(none).count() == 0
-    assert suffix_dedup.cut(odd).columns == odd.columns
+    assert suffix_dedup.cut(odd).columns == odd.columns and suffix_dedup.cut(none).count() == 0
 
 
 def test_suffix_dedup_with_shared_passages(spark):
@@ -217,10 +273,34 @@ def test_suffix_dedup_with_shared_passages(spark):
             parts.append(s[rng.randint(0, 20) :] if rng.random() < 0.5 else s)
             parts.append(" ".join(word() for _ in range(rng.randint(0, 8))))
         rows.append((i, rng.choice(["\n", " "]).join(parts)))
+    rows += [(150 + i, rows[i % 3][1]) for i in range(9)]  # exact copies
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = suffix_dedup.brute_force([(i, t.encode()) for i, t in rows])
-    for more in ({}, {"hot_contexts": 5, "group_bytes": 3000}):
+    for more in ({}, {"hot_contexts": 5, "group_bytes": 3000}, {"hot_contexts": 3, "group_bytes": 300_000, "hold": 1000}):
         assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, **more).collect()} == want
+    left = {r["doc_id"]: r["text"].encode() for r in suffix_dedup.cut(docs).collect()}
+    assert {i: hashlib.sha256(t).hexdigest() for i, t in left.items()} == {i: w[3] for i, w in want.items() if i in left}
+    assert all(want[i][1] and want[i][0] - want[i][1] < 50 for i, _ in rows if i not in left)
+
+
+def test_cut_gives_every_row_its_own_text(spark):
+    """Rows that share an id, or have none, and have the same length."""
+    tail = PASSAGE + " tail one AAAA"
+    other = "unrelated words".ljust(len(tail), "q")
+    lost = "something else".ljust(len(tail), "z")
+    rows = [(1, PASSAGE, "a", None), (2, tail, "b", 1.5), (2, other, "c", 2.5), (None, tail, None, 3.0), (None, lost, "d", 4.0), (None, None, "e", 5.0), (9, tail, "f", None)]
+    got = suffix_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string, key string, `a.b` double").repartition(3)).collect()
+    assert plain(map(tuple, got)) == plain([rows[0], (2, " tail one AAAA", "b", 1.5), rows[2], rows[4], (None, "", "e", 5.0)])
+
+
+def test_workspace_leaves_nothing_it_has_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_path", lambda _, tag: f"file://{tmp_path}/{tag}-{len(list(tmp_path.iterdir()))}-{random.random()}")
+    with Workspace.recorded(spark):
+        docs = spark.createDataFrame([(i, PASSAGE + f" {i % 7} " + "x" * i) for i in range(40)], "doc_id long, text string")
+        n = near_dedup.drop_near(suffix_dedup.cut(docs)).count()
+        assert n and list(tmp_path.iterdir())
+    Workspace.finish(spark)
+    assert not [p for p in tmp_path.iterdir() if not p.name.startswith(".")]
 
 
 def near_by_hand(rows, least=0.8):
@@ -344,22 +424,40 @@ def test_top_k(spark, sf):
 
 def test_top_k_with_odd_rows(spark):
     rng = random.Random(7)
-    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)], i) for i in range(200)]
-    rows += [(200, None, 0), (201, [1.0, None, 0.0], 0), (202, [1.0, float("nan"), 0.0], 0), (203, [float("inf"), 0.0, 0.0], 0), (204, [1.0], 0), (None, [1.0, 1.0, 1.0], 0)]
-    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int").repartition(4)
-    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v, _ in rows[:200]]
-    want = []
-    for q, v in good:
-        if q % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in good if i != q)[:20]
-            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    for more in ({}, {"pivots": 3, "block": 2, "slice_rows": 50}):
+    odd_ones = [(200, None, 0), (201, [1.0, None, 0.0], 0), (202, [1.0, float("nan"), 0.0], 0), (203, [float("inf"), 0.0, 0.0], 0), (204, [1.0], 0), (205, [], 0), (None, [1.0, 1.0, 1.0], 0)]
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)], i) for i in range(200)] + odd_ones
+
+    def check(rows, **more):
+        data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int").repartition(4)
+        low, high = -(2**63), 2**63 - 1
+        good = [(i, [max(low, min(high, math.floor(64 * x))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+        want = []
+        for q, v in good:
+            if q % 20 == 0:
+                best = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i) for i, w in good if i != q)[:20]
+                want += [(q, r + 1, i, max(low, min(high, -s))) for r, (s, i) in enumerate(best)]
         assert sorted(map(tuple, knn.top_k(data, data.where("vec_id % 20 = 0"), **more).collect())) == sorted(want)
+        return data
+
+    data = check(rows)
+    check(rows, pivots=3, block=2, slice_rows=50)
+    for big in (1e3, 1e8, 1e25):  # components and scores of 32, 64 and more bits
+        check([*rows, *((300 + i, [rng.uniform(-big, big) for _ in range(3)], 0) for i in range(30))])
     assert knn.top_k(data.where("vec_id < 3"), data.where("vec_id < 3")).count() == 6
     assert knn.top_k(data.where("false"), data).count() == 0
     assert knn.top_k(data, data.where("false")).count() == 0
 
 
+def test_query_blocks_hold_every_cell():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 50, 40)
+    base, split, blocks = knn._plan_blocks(rng.random((40, 5)), counts.tolist(), 30)
+    fill = np.zeros(blocks)
+    for c, b, s in zip(counts, base, split, strict=True):
+        fill[b : b + int(s)] += c / s
+    assert fill.sum() == counts.sum() and (fill <= 30).all() and blocks <= 2 * counts.sum() / 30 + 2
+
+
 def test_html():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><a href=x>Home</a><h1>Site</h1></header>
     <div class="cookie-notice">We use cookies. Accept them, please.</div><nav>a b c</nav><main><article class="post"><header><h1>Title &amp; more</h1></header>
@@ -370,6 +468,72 @@ def test_html():
     assert html_text.main_text("") == ""
 
 
+def test_html_scan_keeps_what_is_no_menu():
+    text = html_text.main_text
+    assert text("<p>We know <math><mi>x</mi>=<mn>2</mn></math> holds here, and <my-tag>more</my-tag> so. Then it is fine.</p>") == "We know x=2 holds here, and more so. Then it is fine."
+    assert text('<p>Before it, some words. <svg><title>no</title><text>no</text></svg>After it, more words, too.</p>') == "Before it, some words. After it, more words, too."
+    review = ["This film is a slow, quiet one. It says what it has to say, well.", "We liked it, all in all, and would see it again."]
+    assert text(f'<div class="review"><p>{review[0]}</p><p>{review[1]}</p></div>') == "\n".join(review)
+    assert text("<article><p>Some text, cut off.</p><img " + " ".join(f'a{i}="v"' for i in range(60))) == "Some text, cut off."
+    assert text("<p>One &lt; two, &amp; so on.</p><p>x <y and z, then</p><p>more of it.") .startswith("One < two, & so on.\nx")
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + "x, yes.", "<b>" * 100_000 + "<p>x</p>" * 1000, "<h1>" * 100_000, "<ul><li>" * 50_000, "</p>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<head><body>" * 30_000, "<table><tr><td>" * 30_000, '<a href="x">y ' * 50_000, '<a ' + '" ' * 50_001, "<p>a, b.</p>" * 30_000],
+)
+def test_html_time_grows_with_length(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10  # quadratic scans take minutes
+
+
+def by_levels(page):
+    """Blocks and their open elements by the standard library's parser, for well-formed pages."""
+    out, stack, held = [], [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCKS:
+                flush()
+            if tag not in html_text.VOID:
+                stack.append(tag)
+            elif tag == "br":
+                held.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCKS:
+                flush()
+            if tag in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+
+        def handle_data(self, data):
+            if not set(stack) & html_text.DROPPED:
+                held.append(data)
+
+    def flush():
+        if text := " ".join("".join(held).split()):
+            out.append(text)
+        held.clear()
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    flush()
+    return out
+
+
+def test_html_blocks_agree_with_the_standard_parser(spark, sf):
+    pages = [r["html"] or "" for r in load(spark, sf, "pages").collect()]
+    assert pages
+    for page in pages:
+        assert [b.text for b in html_text.blocks(page)] == by_levels(page)
+    # what the query returns are blocks of its page, in order
+    for r in queries.op7_html_text(spark, sf).join(load(spark, sf, "pages").select("page_id", "html"), "page_id").collect():
+        rest = iter(by_levels(r["html"]))
+        assert all(line in rest for line in r["text"].split("\n")) and r["n_chars"] == len(r["text"])
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(9)
     for _ in range(200):
@@ -405,6 +569,28 @@ def test_language(spark, sf, odd, none):
     assert language_id.keep_identified(odd, language_id.train(odd)).columns == odd.columns
 
 
+def test_language_viterbi_is_best():
+    """Against all labellings of short texts."""
+    rng = random.Random(2)
+    model = language_id.fit([("aa ab ba abab", "x"), ("bb bc cb bcbc", "y"), ("cc ca ac caca", "z")], least=1)
+    for _ in range(60):
+        penalty = rng.choice([0.5, 2.0, 8.0])
+        labeller = language_id.Labeller(model, penalty)
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 6))]
+        label, _ = next(labeller.label([" ".join(words)]))
+        score = [labeller.scores[labeller.seen[w]] for w in words]
+        cost = lambda own: sum(float(s[k]) for s, k in zip(score, own, strict=True)) - penalty * sum(a != b for a, b in itertools.pairwise(own))  # noqa: B023, E731
+        assert cost(label.tolist()) >= max(map(cost, itertools.product(range(3), repeat=len(words)))) - 1e-3
+
+
+def test_language_samples_each_language(spark):
+    rows = [(i, "the cat and the other dog with them", "en") for i in range(3000)] + [(5000 + i, "και το άλλο σκυλί με τη γάτα", "el") for i in range(8)] + [(6000, "собака и кошка", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, train_rows=50)
+    assert model.langs == ["el", "en"]
+    assert language_id.keep_identified(docs, model).count() == len(rows)  # a script that nothing was learned of is no reason to go
+
+
 def test_language_spans():
     rng = random.Random(1)
     one, two = ["the", "and", "with", "other", "there"], ["que", "para", "los", "cuando", "ñandu"]
@@ -419,6 +605,12 @@ def test_quality(spark, sf, odd, none):
     assert sum(r["quality"] == r["predicted"] for r in got) >= 0.9 * len(got)
     model = quality.train(load(spark, sf, "documents"), labels)
     assert model.rules and model.describe()
+    stats = quality.with_statistics(load(spark, sf, "documents")).select(*quality.STATS, model.column().alias("p")).collect()
+    x = np.array([r[:-1] for r in stats])
+    z = model.bias + sum(w * quality.holds(rule, x) for rule, w in model.rules)
+    assert np.allclose([r["p"] for r in stats], 1 / (1 + np.exp(-z)))
+    twice = quality.train(load(spark, sf, "documents"), labels.union(labels))
+    assert twice.rules == model.rules
     rows = quality.score(odd, model).collect()
     assert len(rows) == len(TEXTS) + 1 and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.score(none, model).count() == 0
