@@ -196,7 +196,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def sized(batches: Iterator[pa.RecordBatch], column: str | int = "text", rows: int = 4096, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sized(batches: Iterator[pa.RecordBatch], column: str | int = "text", rows: int = 4096, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows and about ``most`` bytes of ``column``, one row at least."""
     for b in slices(batches, rows):
         size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()

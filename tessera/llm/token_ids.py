@@ -42,10 +42,45 @@ def valid_text(column: pa.Array) -> pa.Array:
         return pa.array([t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()], pa.string())
 
 
+class _Words:
+    """Numbered words with their ids."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {"": 0}
+        self.count = np.zeros(1 << 12, np.int32)
+        self.start = np.zeros(1 << 12, np.int32)
+        self.ids = np.zeros(1 << 14, np.uint32)
+        self.used = 0
+
+    def add(self, words: list[str], count: np.ndarray, ids: np.ndarray) -> None:
+        first, end = len(self.known), len(self.known) + len(words)
+        for name, need in (("count", end), ("start", end), ("ids", self.used + len(ids))):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, len(held)) - len(held) // 2, held.dtype)]))
+        self.count[first:end] = count
+        self.start[first:end] = self.used + np.cumsum(count) - count
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(words, range(first, end), strict=True))
+
+    def gather(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of these words has, and all of them in a row."""
+        n = self.count[word]
+        stop = np.cumsum(n, dtype=np.int64)
+        total = int(stop[-1]) if len(n) else 0
+        return n, self.ids[np.repeat(self.start[word] - stop + n, n) + np.arange(total)]
+
+
 class BatchEncoder:
-    """Ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, each followed by ``end_id``."""
+    """Ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, each followed by ``end_id``.
 
-    def __init__(self, path: str, end_id: int, most: int = 1_000_000, at_once: int = 20_000):
+    Words are kept in two generations: when the younger one is full the older
+    one goes, and what is met again moves up. So memory is bounded and common
+    words stay.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 600_000, at_once: int = 20_000):
         self.tokenizer, self.end, self.most, self.at_once = Tokenizer.from_file(path), end_id, most, at_once
         added = {str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.hard = "|".join([_HARD, *map(re.escape, sorted(added))])
@@ -53,14 +88,7 @@ class BatchEncoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids with which a word or a line begins
         for token, i in vocabulary.items():
             self.begins[i] = token[0] == BYTE_CHARS[32] or token == BYTE_CHARS[10]
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.count = np.zeros(1 << 12, np.int64)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint32)
-        self.used = 0
+        self.words, self.older = _Words(), _Words()
         self._learn(["\n"])
 
     def whole(self, text: str) -> np.ndarray:
@@ -72,41 +100,38 @@ class BatchEncoder:
         at = np.flatnonzero(self.begins[found])
         if len(at) != len(words):
             single = [self.whole(w if w[0] == "\n" else " " + w) for w in words]
-            found, size = np.concatenate(single), np.array([len(x) for x in single])
-            at = np.cumsum(size) - size
-        n, first = len(words), len(self.known)
-        for name, need in (("count", first + n), ("start", first + n), ("ids", self.used + len(found))):
-            held = getattr(self, name)
-            if need > len(held):
-                setattr(self, name, np.concatenate([held, np.zeros(max(need, len(held)), held.dtype)]))
-        self.count[first : first + n] = np.diff(np.append(at, len(found)))
-        self.start[first : first + n] = self.used + at
-        self.ids[self.used : self.used + len(found)] = found
-        self.used += len(found)
-        self.known.update(zip(words, range(first, first + n), strict=True))
+            self.words.add(words, np.array([len(x) for x in single]), np.concatenate(single))
+        else:
+            self.words.add(words, np.diff(np.append(at, len(found))), found)
+
+    def _numbers(self, distinct: np.ndarray) -> np.ndarray:
+        """The number of each word among ``words``."""
+        number = np.fromiter(map(self.words.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        old = np.fromiter(map(self.older.known.get, distinct[new], repeat(-1)), np.int64, len(new))
+        again, new = new[old >= 0], new[old < 0]
+        first = len(self.words.known)
+        self.words.add(distinct[again].tolist(), *self.older.gather(old[old >= 0]))
+        for i in range(0, len(new), self.at_once):
+            self._learn(distinct[new[i : i + self.at_once]].tolist())
+        number[again] = first + np.arange(len(again))
+        number[new] = first + len(again) + np.arange(len(new))
+        return number
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin (one entry more than texts)."""
-        if len(self.known) > self.most:  # a bound on memory; what it held is made again when met
-            self._reset()
+        if len(self.words.known) > self.most // 2:
+            self.words, self.older = _Words(), self.words
         texts = valid_text(column)
         hard = pc.match_substring_regex(texts, self.hard)
         easy = pc.if_else(hard, "", texts) if pc.any(hard).as_py() else texts
         # every text begins with a line break here, whose id becomes the end of the text before
         cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", easy, ""), "\n", " \n"), " ")
         words = cut.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False)
-        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(number < 0)
-        number[new] = len(self.known) + np.arange(len(new))
-        for i in range(0, len(new), self.at_once):
-            self._learn(distinct[new[i : i + self.at_once]].tolist())
-        word = number[words.indices.to_numpy()]
-        n = self.count[word]
-        stop = np.cumsum(n)
+        word = self._numbers(words.dictionary.to_numpy(zero_copy_only=False))[words.indices.to_numpy()]
+        n, flat = self.words.gather(word)
         first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        begin = np.append(0, stop)[first]
-        flat = self.ids[np.repeat(self.start[word] - stop + n, n) + np.arange(len(n) and stop[-1])]
+        begin = np.append(0, np.cumsum(n, dtype=np.int64))[first]
         flat[begin[:-1]] = self.end
         flat = np.append(flat[1:], np.uint32(self.end)) if len(flat) else flat
         slow = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
