@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import NULL_ID, Workspace, by_key, id_out, ints, raw, slices
 
@@ -197,7 +198,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = own.write(digests(docs, id_col, text_col), "digests")
     best = own.write(best_ids(found), "groups")
     own.drop(found)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    mark = F.unhex(F.sha2(F.translate(text, BLANKS.decode(), "").cast("binary"), 256))
-    best = best.select(id_out("keep_id", "__kept"), F.col("digest").alias("__mark"))
-    return docs.join(best, docs[id_col].cast("long").eqNullSafe(best["__kept"]) & (mark == best["__mark"]), "left_semi")
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048):
+            mark = [hashlib.sha256((t or b"").translate(None, BLANKS)).digest() for t in raw(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mark, pa.binary())], [*names, "__mark"])
+
+    best = best.select(id_out("keep_id", "__kept"), F.col("digest").alias("__digest"))
+    marked = docs.mapInArrow(step, StructType([*docs.schema.fields, StructField("__mark", BinaryType())]))
+    same = marked[id_col].cast("long").eqNullSafe(best["__kept"]) & (marked["__mark"] == best["__digest"])
+    return marked.join(best, same, "left_semi").drop("__mark")
