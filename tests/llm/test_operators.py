@@ -107,6 +107,11 @@ def test_batch_encoder():
             assert len(ids) == begin[-1]
             for j, w in enumerate(want[i : i + step]):
                 assert (ids[begin[j] : begin[j + 1]] == w).all() and begin[j + 1] - begin[j] == len(w), texts[i + j]
+    assert encode.ranked is not None
+    words = " ".join("".join(rng.choice("abcdefghißéжλ'.,-1") for _ in range(rng.randint(1, 25))) for _ in range(20000))
+    slow = token_ids.BatchEncoder(queries.JSON_50K, 2)
+    slow.ranked = None
+    assert (encode(pa.array([words]))[0] == reference_ids([words])[0]).all() and (slow(pa.array([words]))[0] == reference_ids([words])[0]).all()
     bad = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 3], "<i4").tobytes()), pa.py_buffer(b"a\xffb")])
     assert encode(bad)[0].tolist() == reference_ids(["a\ufffdb"])[0].tolist()
 
