@@ -6,7 +6,7 @@ import math
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators.facts import NUMBER
 
@@ -37,20 +37,26 @@ def cells_equal(a, b) -> bool:
     return x is None and y is None and str(a) == str(b)
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """Columns by position, each cell as a text that is equal for equal cells: 12 significant digits for numbers."""
+def canonical_cells(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, each cell as a text that is equal for equal cells: 12 significant digits for numbers."""
     out = []
-    for i, f in enumerate(df.schema.fields):
-        x = F.col(f"c{i}")
+    for f in df.schema.fields:
+        x = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.NumericType):
             num: Column = x.cast("double")
         elif isinstance(f.dataType, T.StringType):
-            num = F.when(x.rlike(NUMBER), F.expr(f"try_cast(trim(c{i}) AS double)"))
+            num = F.when(x.rlike(NUMBER), F.trim(x).try_cast("double"))
         else:
             num = F.lit(None).cast("double")
         text = F.when(num.isNotNull() & ~F.isnan(num), F.format_string("#%.11e", num + F.lit(0.0))).otherwise(F.concat(F.lit("$"), x.cast("string")))
-        out.append(F.when(x.isNotNull(), text).alias(f"k{i}"))
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*out)
+        out.append(F.when(x.isNotNull(), text))
+    return out
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """``canonical_cells`` by position; names of columns may repeat."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[c.alias(f"k{i}") for i, c in enumerate(canonical_cells(plain))])
 
 
 def match_sets(gold: DataFrame, candidate: DataFrame) -> bool:
@@ -61,18 +67,45 @@ def match_sets(gold: DataFrame, candidate: DataFrame) -> bool:
     return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with the place (place) of each row, from 0, in the order that its plan gives; no task sees more than its own rows.
+
+    The rows before each partition are counted by one job, which brings a
+    number for each partition to the driver. So the order has to be the same
+    whenever the plan runs: ``df`` has to be sorted by all that tells rows apart.
+    """
+    own = df.withColumn("__mid", F.monotonically_increasing_id())
+    per = own.groupBy(F.shiftright("__mid", 33).alias("pid")).agg(F.count(F.lit(1)).alias("n")).orderBy("pid").collect()
+    before, offsets = 0, []
+    for r in per:
+        offsets.append((r["pid"], before))
+        before += r["n"]
+    first = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair]) if offsets else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    place = F.element_at(first, F.shiftright("__mid", 33)) + F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return own.select(place.alias("place"), *df.columns)
+
+
 def match_ordered(gold: DataFrame, candidate: DataFrame, order: Sequence[str]) -> bool:
-    """Whether row i of both is equal for every i. ``order``: the sort keys both results are ordered by."""
+    """Whether row i of both is equal for every i. ``order``: the sort keys both results are ordered by.
+
+    Rows that these keys leave tied are put in the order of their cells on
+    both sides, as nothing says which comes first.
+    """
     if len(gold.columns) != len(candidate.columns):
         return gold.isEmpty() and candidate.isEmpty()
 
-    def numbered(df: DataFrame) -> DataFrame:
-        w = Window.orderBy(*[F.expr(o) if not o.endswith(" DESC") else F.expr(o[:-5]).desc() for o in order])
-        keyed = df.withColumn("__i", F.row_number().over(w))
-        return keyed.select("__i", *[F.col(c) for c in df.columns])
+    def placed(df: DataFrame) -> DataFrame:
+        keys = [F.expr(o) if not o.endswith(" DESC") else F.expr(o[:-5]).desc() for o in order]
+        cells = [F.coalesce(c, F.lit("")).alias(f"k{i}") for i, c in enumerate(canonical_cells(df))]
+        return numbered(df.sort(*keys, *cells).select(*cells))
 
-    x, y = numbered(gold), numbered(candidate)
-    a, b = canonical(x), canonical(y)
+    a, b = placed(gold), placed(candidate)
+    return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
+
+
+def match_in_place(gold: DataFrame, candidate: DataFrame) -> bool:
+    """Whether row i of both is equal for every i, in the order in which the results come."""
+    a, b = numbered(canonical(gold)), numbered(canonical(candidate))
     return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
 
 
@@ -110,6 +143,34 @@ def soft_f1(gold: list[Sequence], candidate: list[Sequence]) -> float:
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
+def soft_scores(gold: DataFrame, candidate: DataFrame, ordered: bool = False) -> DataFrame:
+    """``soft_f1`` (one row, f1) of two results of any size, cells compared in canonical form.
+
+    Rows are paired by place: in the order of the results if they are
+    ``ordered``, by first appearance, else in the order of their cells.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        c = canonical(df)
+        cells = c.select(F.array(*[F.coalesce(F.col(x), F.lit("")) for x in c.columns]).alias("cells"))
+        if not ordered:
+            return numbered(cells.distinct().sort("cells"))
+        first = numbered(cells).groupBy("cells").agg(F.min("place").alias("at"))
+        return numbered(first.sort("at").select("cells"))
+
+    both = placed(gold).withColumnRenamed("cells", "g").join(placed(candidate).withColumnRenamed("cells", "c"), "place", "full_outer")
+    width = F.greatest(F.size("g"), F.lit(1))
+    only = lambda a, b: F.size(F.filter(a, lambda x: ~F.array_contains(b, x)))
+    hit = F.size("c") - only("c", F.col("g"))
+    paired = F.col("g").isNotNull() & F.col("c").isNotNull()
+    tp = F.sum(F.when(paired, hit / width).otherwise(0.0))
+    fp = F.sum(F.when(paired, only("c", F.col("g")) / width).when(F.col("g").isNull(), 1.0).otherwise(0.0))
+    fn = F.sum(F.when(paired, only("g", F.col("c")) / width).when(F.col("c").isNull(), 1.0).otherwise(0.0))
+    sums = both.agg(F.count(F.lit(1)).alias("n"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
+    return sums.select(F.when(F.col("n") == 0, 1.0).when(F.col("tp") > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
 def numeric_series(gold: DataFrame, candidate: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """One row: correct, max_diff, of two (label, value) tables; a label on one side only is not correct."""
     a = gold.toDF("label", "x").select("label", F.col("x").cast("double").alias("x"), F.lit(1).alias("l"))

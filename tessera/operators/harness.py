@@ -45,12 +45,13 @@ def _timed(action: Callable[[], object]) -> tuple[object, float]:
     return action(), (time.perf_counter() - began) * 1000
 
 
-def run_system(spark: SparkSession, items: Iterable[Item], system: Callable[[str], tuple[str, int]], log: str | Path, header: dict | None = None, most_rows: int = 10_000) -> list[Record]:
+def run_system(spark: SparkSession, items: Iterable[Item], system: Callable[[str], tuple[str, int]], log: str | Path, header: dict | None = None) -> list[Record]:
     """``system`` answers a question with SQL and the tokens it took.
 
     An item's error is recorded, not raised. The log is never overwritten:
-    each line reaches the disk before the next item starts. Partial credit
-    compares ``most_rows`` rows of each side at most; the matches compare all.
+    each line reaches the disk before the next item starts. Matches and
+    partial credit compare all rows. Where the reference is ordered, its order
+    counts in the loose match and in the pairing of rows.
     """
     path = Path(log)
     path.with_suffix(".header.json").write_text(json.dumps(header or {}))
@@ -65,8 +66,11 @@ def run_system(spark: SparkSession, items: Iterable[Item], system: Callable[[str
                 found = spark.sql(r.sql)
                 _, r.cand_ms = _timed(lambda found=found: found.write.format("noop").mode("overwrite").save())
                 r.strict, r.loose = matching.match_strict(gold, found), matching.match_sets(gold, found)
-                a, b = gold.limit(most_rows).collect(), found.limit(most_rows).collect()
-                r.soft = matching.soft_f1([tuple(x) for x in a], [tuple(x) for x in b])
+                ordered = matching.top_level_order(item.gold_sql)
+                if ordered and r.loose:
+                    r.loose = matching.match_in_place(gold, found)
+                r.soft = matching.soft_scores(gold, found, ordered).collect()[0]["f1"]
+                a, b = gold.limit(2).collect(), found.limit(2).collect()
                 if len(a) == len(b) == 1 and len(gold.columns) == len(found.columns) == 1 and matching.number(a[0][0]) is not None:
                     r.numeric = matching.cells_equal(a[0][0], b[0][0])
                 r.join_precision, r.join_recall, _ = matching.join_scores(matching.join_pairs(r.sql), matching.join_pairs(item.gold_sql))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..sources.catalog import OTHER, Catalog
 
@@ -40,6 +40,7 @@ class Link:
     cardinality: str = "one-to-many"
     evidence: str = "data"  # name, declared
     verified: bool = True
+    junction: str = ""
 
 
 def _singular(word: str) -> str:
@@ -97,27 +98,62 @@ def prefilter(profiles: list, keys: list[tuple[str, str]], self_references: bool
     return out
 
 
+def _whole(kind: T.DataType) -> bool:
+    return isinstance(kind, T.IntegralType | T.DateType | T.TimestampType | T.TimestampNTZType)
+
+
+def as_long(column, kind: T.DataType):
+    """Whole numbers as they are, times in microseconds."""
+    return column.cast("long") if isinstance(kind, T.IntegralType) else F.unix_micros(column.cast("timestamp"))
+
+
+def as_text(column, kind: T.DataType):
+    """Equal values of any two numeric types, or of any two temporal ones, become equal texts."""
+    if _whole(kind):
+        return as_long(column, kind).cast("string")
+    if isinstance(kind, T.DecimalType):
+        return F.when(column == F.floor(column), column.cast("decimal(38,0)").cast("string")).otherwise(column.cast("double").cast("string"))
+    if isinstance(kind, T.FractionalType):
+        x = column.cast("double")
+        return F.when((x == F.floor(x)) & (F.abs(x) < 1e18), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    return column.cast("string")
+
+
+def _distinct(catalog: Catalog, wanted: dict[tuple[str, str], int], convert) -> DataFrame:
+    """(c, v): the distinct non-null values of every wanted column under its number."""
+    values = None
+    for table in sorted({t for t, _ in wanted}):
+        df = catalog.tables[table]
+        cells = F.array(*[F.struct(F.lit(i).alias("c"), convert(F.col(f"`{c}`"), df.schema[c].dataType).alias("v")) for (t, c), i in wanted.items() if t == table])
+        d = df.select(F.inline(cells)).where("v is not null").distinct()
+        values = d if values is None else values.unionByName(d)
+    return values
+
+
 def containment(catalog: Catalog, pairs: list[Pair]) -> DataFrame:
     """source, column_name, target, target_column, src_distinct, missing, containment for every pair, in one job.
 
-    Values compare as text within their family: whole numbers alike whatever
-    their width, doubles by their shortest form.
+    Pairs of whole numbers or of times are compared, and shuffled, as longs;
+    others as texts in which equal numbers of different types are equal.
     """
     spark = catalog.spark
     if not pairs:
         return spark.createDataFrame([], "source string, column_name string, target string, target_column string, src_distinct long, missing long, containment double")
     columns = sorted({(p.source, p.column) for p in pairs} | {(p.target, p.target_column) for p in pairs})
     number = {c: i for i, c in enumerate(columns)}
-    values = None
-    for table in sorted({t for t, _ in columns}):
-        own = [c for t, c in columns if t == table]
-        cells = F.array(*[F.struct(F.lit(number[table, c]).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in own])
-        d = catalog.tables[table].select(F.inline(cells)).where("v is not null").distinct()
-        values = d if values is None else values.unionByName(d)
+    kind = {(t, c): catalog.tables[t].schema[c].dataType for t, c in columns}
+    counts = None
+    for whole, convert in ((True, as_long), (False, as_text)):
+        own = [p for p in pairs if (_whole(kind[p.source, p.column]) and _whole(kind[p.target, p.target_column])) == whole]
+        if not own:
+            continue
+        asked = spark.createDataFrame([(number[p.source, p.column], number[p.target, p.target_column]) for p in own], "s int, t int").distinct()
+        values = _distinct(catalog, {c: number[c] for c in columns if any(c in ((p.source, p.column), (p.target, p.target_column)) for p in own)}, convert)
+        wanted = values.join(F.broadcast(asked), F.col("c") == F.col("s")).select("s", "t", "v")  # pairs of columns, as many as the schema has
+        met = wanted.join(values.select(F.col("c").alias("t"), "v", F.lit(1).alias("hit")), ["t", "v"], "left")
+        met = met.groupBy("s", "t").agg(F.count(F.lit(1)).alias("src_distinct"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missing"))
+        counts = met if counts is None else counts.unionByName(met)
     listed = spark.createDataFrame([(number[p.source, p.column], number[p.target, p.target_column]) for p in pairs], "s int, t int")
-    asked = values.join(F.broadcast(listed), F.col("c") == F.col("s")).select("s", "t", "v")  # pairs of columns, as many as the schema has
-    met = asked.join(values.select(F.col("c").alias("t"), "v", F.lit(1).alias("hit")), ["t", "v"], "left")
-    counts = met.groupBy("s", "t").agg(F.count(F.lit(1)).alias("src_distinct"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missing"))
     names = spark.createDataFrame([(i, t, c) for (t, c), i in number.items()], "i int, tn string, cn string")
     out = listed.join(counts, ["s", "t"], "left").fillna(0, ["src_distinct", "missing"])
     out = out.join(F.broadcast(names.toDF("s", "source", "column_name")), "s").join(F.broadcast(names.toDF("t", "target", "target_column")), "t")
@@ -165,7 +201,7 @@ def many_to_many(links: list[Link], pair_keys: list[tuple[str, tuple[str, str]]]
     for table, (a, b) in pair_keys:
         x, y = by.get((table, a)), by.get((table, b))
         if x and y and x.target != y.target:
-            out.append(replace(x, source=x.target, column=x.target_column, target=y.target, target_column=y.target_column, kind="many-to-many", cardinality="many-to-many", score=min(x.score, y.score), containment=min(x.containment, y.containment)))
+            out.append(replace(x, source=x.target, column=x.target_column, target=y.target, target_column=y.target_column, kind="many-to-many", cardinality="many-to-many", junction=table, score=min(x.score, y.score), containment=min(x.containment, y.containment)))
     return out
 
 
@@ -176,37 +212,45 @@ def trusted(catalog: Catalog, links: list[Link], least: float = TRUSTED) -> list
     return list(dict.fromkeys(rows))
 
 
-def composite_containment(catalog: Catalog, child: str, child_columns: tuple[str, str], parent: str, parent_columns: tuple[str, str]) -> DataFrame:
-    """src_distinct, missing, containment of distinct value pairs of ``child`` in ``parent``."""
-    s = catalog.tables[child].select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(child_columns)]).dropna().distinct()
-    t = catalog.tables[parent].select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(parent_columns)]).dropna().distinct().withColumn("hit", F.lit(1))
-    met = s.join(t, ["k0", "k1"], "left").agg(F.count(F.lit(1)).alias("src_distinct"), F.coalesce(F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)), F.lit(0)).alias("missing"))
-    return met.withColumn("containment", F.when(F.col("src_distinct") > 0, (F.col("src_distinct") - F.col("missing")) / F.col("src_distinct")).otherwise(F.lit(0.0)))
+Columns = tuple[str, str]
+
+
+def composite_containment(catalog: Catalog, pairs: list[tuple[str, Columns, str, Columns]]) -> DataFrame:
+    """i, src_distinct, missing, containment of distinct value pairs for every (child, columns, parent, columns), in one job."""
+    sides = sorted({(t, cs) for p in pairs for t, cs in (p[:2], p[2:])})
+    number, values = {x: i for i, x in enumerate(sides)}, None
+    for table in sorted({t for t, _ in sides}):
+        df = catalog.tables[table]
+        cells = F.array(*[F.struct(F.lit(number[table, cs]).alias("c"), *[as_text(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"k{j}") for j, c in enumerate(cs)]) for t, cs in sides if t == table])
+        d = df.select(F.inline(cells)).dropna().distinct()
+        values = d if values is None else values.unionByName(d)
+    listed = catalog.spark.createDataFrame([(i, number[p[:2]], number[p[2:]]) for i, p in enumerate(pairs)], "i int, s int, t int")
+    asked = values.join(F.broadcast(listed), F.col("c") == F.col("s")).select("i", "t", "k0", "k1")  # pairs of the schema
+    met = asked.join(values.select(F.col("c").alias("t"), "k0", "k1", F.lit(1).alias("hit")), ["t", "k0", "k1"], "left")
+    counts = met.groupBy("i").agg(F.count(F.lit(1)).alias("src_distinct"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missing"))
+    return counts.withColumn("containment", (F.col("src_distinct") - F.col("missing")) / F.col("src_distinct"))
 
 
-def composite_foreign_keys(catalog: Catalog, links: list[tuple[str, str, str, str]], pair_keys: list[tuple[str, tuple[str, str]]], singles: set[tuple[str, str]], rows: dict[str, int], max_rows: int = 5_000_000) -> list[dict]:
+def composite_foreign_keys(catalog: Catalog, links: list[tuple[str, str, str, str]], pair_keys: list[tuple[str, Columns]], singles: set[tuple[str, str]]) -> list[dict]:
     """Two-column links: both columns refer to the same two parents on either side, and the target pair is a minimal key.
 
-    For each (child, parent) the pair of best containment stays.
+    Tables of any size, all candidates in one job. For each (child, parent)
+    the pair of best containment stays, the first one of equals.
     """
     refs: dict[str, dict[str, list[str]]] = {}
     for source, column, target, _ in links:
         refs.setdefault(source, {}).setdefault(target, []).append(column)
-    best: dict[tuple[str, str], dict] = {}
+    wanted = []
     for parent, (a, b) in pair_keys:
         if (parent, a) in singles or (parent, b) in singles:
             continue
         of = {c: t for t, cs in refs.get(parent, {}).items() for c in cs}
-        if a not in of or b not in of or of[a] == of[b]:
-            continue
-        for child in refs:
-            if child == parent or rows.get(child, 0) > max_rows or rows.get(parent, 0) > max_rows:
-                continue
-            for x in refs[child].get(of[a], []):
-                for y in refs[child].get(of[b], []):
-                    if x == y:
-                        continue
-                    r = composite_containment(catalog, child, (x, y), parent, (a, b)).collect()[0]
-                    if r["src_distinct"] and r["containment"] >= MIN_CONTAINMENT and r["containment"] > best.get((child, parent), {"containment": -1})["containment"]:
-                        best[child, parent] = {"child": child, "columns": [x, y], "parent": parent, "parent_columns": [a, b], "containment": r["containment"]}
+        if a in of and b in of and of[a] != of[b]:
+            wanted += [(child, (x, y), parent, (a, b)) for child in refs if child != parent for x in refs[child].get(of[a], []) for y in refs[child].get(of[b], []) if x != y]
+    found = {r["i"]: r for r in composite_containment(catalog, wanted).collect()} if wanted else {}  # a row for each candidate of the schema
+    best: dict[tuple[str, str], dict] = {}
+    for i, (child, own, parent, key) in enumerate(wanted):
+        r = found.get(i)
+        if r and r["containment"] >= MIN_CONTAINMENT and r["containment"] > best.get((child, parent), {"containment": -1})["containment"]:
+            best[child, parent] = {"child": child, "columns": list(own), "parent": parent, "parent_columns": list(key), "containment": r["containment"]}
     return list(best.values())

@@ -77,11 +77,47 @@ def discover(catalog: Catalog, enum_most: int = 50) -> tuple[Model, list[inclusi
         if (x.source, x.column, x.target, x.target_column) not in declared:
             unique = ontology.cardinality((x.source, x.column) in keys, (x.target, x.target_column) in keys, x.cardinality)
             joins.append(Join(x.source, x.target, ((x.column, x.target_column),), unique, x.score, "inferred-name" if x.evidence == "name" else "discovered"))
+    try:
+        joins += _pair_joins(catalog, rows, links, trusted, set(singles))
+    except Exception as e:  # noqa: BLE001
+        failures.append(f"pairs: {type(e).__name__}")
     return Model(classes, joins), links, failures
 
 
+def _pair_joins(catalog: Catalog, rows: list, links: list[inclusion.Link], trusted: list[tuple[str, str, str, str]], singles: set[tuple[str, str]]) -> list[Join]:
+    """Two-column links, many to one, and tables that a junction joins, many to many.
+
+    Only pairs of columns that refer to two other tables can make either, so
+    only those are probed for being a key. The junction's own links stay the
+    way that rows are joined; the join over it says what it means.
+    """
+    refs: dict[str, dict[str, str]] = {}
+    for source, column, target, _ in trusted:
+        if target != source:
+            refs.setdefault(source, {})[column] = target
+    pair_keys = []
+    for table, own in sorted(refs.items()):
+        if len(set(own.values())) > 1:
+            wanted = [r for r in rows if r["table_name"] == table and r["column_name"] in own]
+            found = profile.composite_keys(catalog, table, wanted).collect()  # pairs of referring columns
+            pair_keys += [(table, tuple(r["columns"])) for r in found if own[r["columns"][0]] != own[r["columns"][1]]]
+    out = []
+    for x in inclusion.composite_foreign_keys(catalog, trusted, pair_keys, singles):
+        on = tuple(zip(x["columns"], x["parent_columns"], strict=True))
+        out.append(Join(x["child"], x["parent"], on, "many-to-one", round(x["containment"], 9), "discovered"))
+    known = {(x.source, x.column) for x in links}
+    declared = [inclusion.Link(x.table, x.column, x.target, x.target_column, 1.0, 1.0, evidence="declared") for x in catalog.links if (x.table, x.column) not in known]
+    for x in inclusion.many_to_many([*links, *declared], pair_keys):
+        out.append(Join(x.source, x.target, (), "many-to-many", x.score, "discovered", f"{x.junction}.{x.source}-{x.target}"))
+    return out
+
+
 def build(catalog: Catalog, namer: Namer | None = None, metrics: MetricMaker | None = None, retries: int = 2, freeze: list[ontology.Node] | None = None) -> Built:
-    """A tiered ontology with what is wrong with it. Metrics that break a rule are asked for again, then dropped."""
+    """A tiered ontology with what is wrong with it.
+
+    Metrics that break a rule, or that Spark's analyzer refuses, are asked for
+    again; those that pass are marked as validated.
+    """
     model, _, failures = discover(catalog)
     for table, columns in model.classes.items():
         named = namer(table, [c.name for c in columns]) if namer else {}
@@ -94,9 +130,14 @@ def build(catalog: Catalog, namer: Namer | None = None, metrics: MetricMaker | N
         nodes = ontology.prune_alt_labels(ontology.assemble(model))
         problems = ontology.validate(nodes, model)
         own = {m.iri for m in model.metrics}
+        refused = {m.iri: e for m in model.metrics if m.iri in own and (e := ontology.dry_run(m, model, catalog.tables))}
+        problems += [(i, e) for i, es in refused.items() for e in es]
         issues = [f"{i}: {e}" for i, e in problems if i in own]
         if not issues or metrics is None:
             break
+    broken = {i for i, _ in problems}
+    # a formula that Spark's analyzer has accepted, and no rule refuses, is worth more than a proposed one
+    nodes = [replace(n, provenance="validated") if n.kind == "metric" and n.iri in own - broken else n for n in nodes]
     if freeze:
         nodes = frozen(nodes, freeze)
     return Built(model, ontology.tier(nodes), problems, warnings(nodes), failures)

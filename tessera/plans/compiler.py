@@ -52,7 +52,7 @@ def minimal_tree(joins: list[Join], needed: set[str]) -> list[Join]:
     while line:
         t = line.popleft()
         for j in joins:
-            o = j.other(t)
+            o = j.other(t) if j.on else None
             if o is not None and o not in came:
                 came[o] = (t, j)
                 line.append(o)

@@ -73,7 +73,7 @@ def assemble(model: Model) -> list[Node]:
         extra = [("domain", f"{model.prefix}:class/{j.source}"), ("range", f"{model.prefix}:class/{j.target}"), ("on", tuple("=".join(p) for p in j.on))]
         if j.confidence >= ASSERTED:
             extra.append(("cardinality", j.cardinality))
-        out.append(Node(f"{model.prefix}:relation/{j.name}.{'+'.join(b for _, b in j.on)}", "relation", predicate(j.on[0][0]), confidence=j.confidence, provenance=j.provenance, extra=tuple(extra)))
+        out.append(Node(f"{model.prefix}:relation/{j.name}.{'+'.join(b for _, b in j.on)}", "relation", predicate(j.on[0][0]) if j.on else predicate(j.target), confidence=j.confidence, provenance=j.provenance, extra=tuple(extra)))
     seen: dict[str, int] = {}
     for m in model.metrics:
         seen[m.iri] = seen.get(m.iri, 0) + 1
@@ -274,7 +274,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, version: int) -> Data
     out = new
     if version > 0:
         old = spark.read.schema(FRAGMENT).parquet(f"{path}/v={version - 1}")
-        out = old.join(F.broadcast(new.select("datasource", "iri")), ["datasource", "iri"], "left_anti").select(*new.columns).unionByName(new)  # nodes of one schema
+        out = old.join(new.select("datasource", "iri"), ["datasource", "iri"], "left_anti").select(*new.columns).unionByName(new)
     out.write.mode("overwrite").parquet(target)
     return spark.read.schema(FRAGMENT).parquet(target)
 

@@ -7,12 +7,13 @@ compared with values worked out by hand.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import matching, text
 from .operators import facts, inclusion, profile, temporality
-from .plans import anchor, compiler, grain, ontology, planner, routing
+from .plans import anchor, build, compiler, grain, linker, ontology, planner, routing
 from .plans.evidence import grounding_slice, parse_evidence
 from .plans.ir import Filter, Measure, Order, Request, RequestError, leash
 from .plans.model import Column, Evidence, Join, Metric, Model
@@ -239,7 +240,7 @@ def _profile_sql(tables=STAR) -> str:
             lo, hi = (f"min({c})", f"max({c})")
             num = f"CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE), NULL, NULL" if k == "n" else f"epoch({lo}), epoch({hi}), NULL, NULL" if k == "d" else f"NULL, NULL, {lo}, {hi}"
             out.append(f"SELECT '{t}', '{c}', '{KINDS[k]}', count(*), count(*) - count({c}), count(DISTINCT {c}), {num} FROM {t}")
-    return "p(table_name, column_name, family, num_rows, null_count, distinct_count, min_num, max_num, min_text, max_text) AS (" + " UNION ALL ".join(out) + ")"
+    return "p(table_name, column_name, family, num_rows, null_count, distinct_count, min_num, max_num, min_text, max_text) AS MATERIALIZED (" + " UNION ALL ".join(out) + ")"
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -320,7 +321,12 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _KEYS_SQL = "k(tt, tc) AS (VALUES " + ", ".join(f"('{t}', '{c}')" for t, c in PRIMARY) + ")"
-_NAMED_SQL = "nm(nt, nc, ntt, ns) AS (VALUES ('', '', '', 0.0)" + "".join(f", ('{t}', '{c}', '{kt}', {inclusion.name_similarity(c, kt)})" for t in STAR for c, _ in COLS[t] for kt, _ in PRIMARY if inclusion.name_similarity(c, kt)) + ")"
+# how far a column is named after a key's table: its name without id, against the table's name
+_NAMED_SQL = (
+    "nb AS (SELECT DISTINCT p.table_name AS nt, column_name AS nc, tt AS ntt, tt AS flat, CASE WHEN tt LIKE '%s' AND tt NOT LIKE '%ss' THEN left(tt, length(tt) - 1) ELSE tt END AS one, "
+    "unnest([replace(regexp_replace(column_name, '_id$', ''), '_', ''), regexp_replace(column_name, 'id$', '')]) AS b FROM p CROSS JOIN k), "
+    "nm AS (SELECT nt, nc, ntt, max(CASE WHEN b IN (flat, one) OR b || 's' = flat THEN 1.0 WHEN contains(flat, b) AND length(b) >= 0.7 * length(flat) OR contains(b, one) THEN 0.7 ELSE 0.0 END) AS ns FROM nb WHERE b <> '' AND b <> nc GROUP BY ALL)"
+)
 _PAIRS_SQL = (
     _profile_sql() + ", " + _KEYS_SQL + ", " + _NAMED_SQL + ", pairs AS (SELECT s.table_name AS source, s.column_name, k.tt AS target, k.tc AS target_column, coalesce(ns, 0.0) AS ns, s.num_rows AS srows, s.distinct_count AS sd, CASE "
     "WHEN s.table_name = k.tt AND s.column_name = k.tc THEN 'same-column' WHEN s.num_rows = 0 OR s.null_count = s.num_rows THEN 'empty' WHEN s.family <> t.family THEN 'type' WHEN coalesce(ns, 0.0) > 0 THEN '' "
@@ -353,7 +359,7 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(x.source, x.column, x.target, x.target_column, round(x.containment, 9), round(x.score, 4), x.kind, x.cardinality) for x in links], "source string, column_name string, target string, target_column string, containment double, score double, kind string, cardinality string")
 
 
-_VALUES_SQL = "v AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS vt, '{c}' AS vc, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t in STAR for c, k in COLS[t] if k == "n") + ")"
+_VALUES_SQL = "v AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS vt, '{c}' AS vc, CAST({c} AS DOUBLE) AS v FROM {t} WHERE {c} IS NOT NULL" for t in STAR for c, k in COLS[t] if k == "n") + ")"
 _SCORED_SQL = (
     "WITH " + _PAIRS_SQL + ", " + _VALUES_SQL + ", c AS (SELECT source, column_name, target, target_column, ns, srows, sd, count(b.v) / count(*) AS containment FROM pairs JOIN v a ON a.vt = source AND a.vc = column_name LEFT JOIN v b ON b.vt = target AND b.vc = target_column AND b.v = a.v WHERE reason = '' GROUP BY ALL HAVING count(b.v) / count(*) >= 0.7), "
     "q AS (SELECT *, count(*) OVER (PARTITION BY target, target_column) AS pop, EXISTS (SELECT 1 FROM k WHERE tt = source AND tc = column_name) AS skey FROM c) "
@@ -389,7 +395,7 @@ add("fk_many_to_many", _junction, "SELECT 'part' AS source, 'p_partkey' AS colum
 def _composite_fk(spark: SparkSession, folder: str) -> DataFrame:
     c = star(spark, folder, ("line_a", "line_b"))
     links = [("line_a", "l_orderkey", "orders", "o_orderkey"), ("line_a", "l_suppkey", "supplier", "s_suppkey"), ("line_b", "l_orderkey", "orders", "o_orderkey"), ("line_b", "l_suppkey", "supplier", "s_suppkey")]
-    found = inclusion.composite_foreign_keys(c, links, [("line_b", ("l_orderkey", "l_suppkey"))], set(), {})
+    found = inclusion.composite_foreign_keys(c, links, [("line_b", ("l_orderkey", "l_suppkey"))], set())
     return spark.createDataFrame([(x["child"], "+".join(x["columns"]), x["parent"], "+".join(x["parent_columns"]), round(x["containment"], 9)) for x in found], "child string, columns string, parent string, parent_columns string, containment double")
 
 
@@ -675,6 +681,85 @@ def _changed(spark: SparkSession, folder: str) -> DataFrame:
 add("onto_diff", _changed, "SELECT 'tsr:property/orders/o_totalprice' AS iri, 'temporality' AS change, 'temporality' AS key")
 
 
+# ------------------------------------------------------------- linking by rules
+
+
+def _by_links(question: str, evidence: str = "", rounded: tuple[str, ...] = ()):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        m = _question_model()
+        got = linker.answer(question, m, star(spark, folder).tables, hints=parse_evidence(evidence, m) if evidence else None).frame
+        return got.withColumns({r: F.round(r, 2) for r in rounded}) if rounded else got
+
+    return run
+
+
+add("linker_grouped", _by_links("order value per priority for building", rounded=("value",)), "SELECT o_orderpriority, ROUND(SUM(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+add("linker_ranked", _by_links("top 5 order value: show the market segment"), "SELECT c_mktsegment FROM (SELECT c_mktsegment, row_number() OVER (ORDER BY o_totalprice DESC) AS i FROM orders JOIN customer ON o_custkey = c_custkey) WHERE i <= 5")
+add("linker_by_number", _by_links("list the priority for custkey 7", evidence="custkey refers to o_custkey"), "SELECT o_orderpriority FROM orders WHERE o_custkey = 7")
+add("linker_all_columns", _by_links("europe"), "SELECT * FROM region WHERE r_name = 'EUROPE'")
+add("linker_filters", _by_links("show nation name of asia and africa"), "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'AFRICA')")
+
+
+def _discovered(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations that a build finds over tables with a junction and two-column references."""
+    c = star(spark, folder, ("bridge", "line_a", "line_b"))
+    c = replace(c.only(["part", "supplier", "orders", "bridge", "line_a", "line_b"]), keys=[], links=[ForeignKey(t, a, b, k) for t, a, b, k in (("bridge", "l_partkey", "part", "p_partkey"), ("bridge", "l_suppkey", "supplier", "s_suppkey"), *((x, "l_orderkey", "orders", "o_orderkey") for x in ("line_a", "line_b")), *((x, "l_suppkey", "supplier", "s_suppkey") for x in ("line_a", "line_b")))])
+    rows = profile.profile(c).collect()  # a row for each column
+    trusted = inclusion.trusted(c, [])
+    singles = {(r["table_name"], r["column_name"]) for r in rows if r["num_rows"] and r["uniqueness_ratio"] == 1}
+    joins = build._pair_joins(c, rows, [], trusted, singles)
+    return spark.createDataFrame([(j.source, j.target, j.cardinality, "+".join(a for a, _ in j.on), round(j.confidence, 9)) for j in joins], "source string, target string, cardinality string, columns string, confidence double")
+
+
+def _both_ways(a: str, b: str) -> str:
+    return f"SELECT '{a}' AS source, '{b}' AS target, 'many-to-one' AS cardinality, 'l_orderkey+l_suppkey' AS columns, ROUND(count(y.l_orderkey) / count(*), 9) AS confidence FROM {a} x LEFT JOIN {b} y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey = y.l_suppkey HAVING count(y.l_orderkey) / count(*) >= 0.7"
+
+
+add(
+    "onto_pair_relations", _discovered,
+    cte("bridge", "line_a", "line_b") + _both_ways("line_a", "line_b") + " UNION ALL " + _both_ways("line_b", "line_a") + " UNION ALL SELECT 'part', 'supplier', 'many-to-many', '', 1.0 WHERE (SELECT count(*) = count(DISTINCT (l_partkey, l_suppkey)) FROM bridge)"
+    " UNION ALL SELECT 'orders', 'supplier', 'many-to-many', '', 1.0 FROM (VALUES (1), (2))",
+)
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of different numeric types are met as numbers."""
+    c = star(spark, folder)
+    o = c.tables["orders"]
+    c.tables["typed"] = o.select(F.col("o_custkey").cast("double").alias("d"), F.col("o_custkey").cast("decimal(12,2)").alias("m"), F.col("o_custkey").cast("int").alias("i"), (F.col("o_custkey") + 0.5).alias("h"), F.col("o_orderdate").cast("date").alias("t"))
+    pairs = [inclusion.Pair("typed", x, "customer", "c_custkey") for x in "dmih"] + [inclusion.Pair("customer", "c_custkey", "typed", x) for x in "dmi"] + [inclusion.Pair("typed", "d", "typed", "m"), inclusion.Pair("typed", "t", "orders", "o_orderdate")]
+    return inclusion.containment(c, pairs).withColumn("containment", F.round("containment", 9))
+
+
+def _mixed_sql() -> str:
+    out = ["WITH typed AS (SELECT CAST(o_custkey AS DOUBLE) AS d, CAST(o_custkey AS DECIMAL(12,2)) AS m, CAST(o_custkey AS INTEGER) AS i, o_custkey + 0.5 AS h, CAST(o_orderdate AS DATE) AS t FROM orders) "]
+    pairs = [("typed", x, "customer", "c_custkey") for x in "dmih"] + [("customer", "c_custkey", "typed", x) for x in "dmi"] + [("typed", "d", "typed", "m"), ("typed", "t", "orders", "o_orderdate")]
+    return out[0] + " UNION ALL ".join(
+        f"SELECT '{s}' AS source, '{a}' AS column_name, '{t}' AS target, '{b}' AS target_column, count(*) AS src_distinct, count(*) FILTER (WHERE y.v IS NULL) AS missing, ROUND(count(y.v) / count(*), 9) AS containment FROM (SELECT DISTINCT {a} v FROM {s}) x LEFT JOIN (SELECT DISTINCT {b} v FROM {t}) y ON x.v = y.v"
+        for s, a, t, b in pairs
+    )
+
+
+add("ind_mixed_types", _mixed, _mixed_sql())
+
+
+def _soft_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Partial credit and ordered match over whole results: each nation against its neighbour by key."""
+    n = star(spark, folder).tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    other = n.select("n_nationkey", F.upper("n_name").alias("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).otherwise(-1).alias("n_regionkey"))
+    a, b = n.orderBy("n_nationkey"), other.orderBy("n_nationkey")
+    got = matching.soft_scores(a, b, ordered=True).withColumn("f1", F.round("f1", 9))
+    return got.withColumns({"in_place": F.lit(matching.match_in_place(a, b)), "itself": F.lit(matching.match_in_place(a, n.orderBy(F.col("n_nationkey")))), "reversed": F.lit(matching.match_in_place(a, n.orderBy(F.desc("n_nationkey"))))})
+
+
+add(
+    "eval_soft_rows", _soft_rows,
+    "WITH r AS (SELECT [CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)] AS g, [CAST(n_nationkey AS VARCHAR), upper(n_name), CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey ELSE -1 END AS VARCHAR)] AS c FROM nation), "
+    "s AS (SELECT sum(len(list_filter(c, lambda x: list_contains(g, x))) / 3.0) AS tp, sum(len(list_filter(c, lambda x: NOT list_contains(g, x))) / 3.0) AS fp, sum(len(list_filter(g, lambda x: NOT list_contains(c, x))) / 3.0) AS fn FROM r) "
+    "SELECT ROUND(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1, FALSE AS in_place, TRUE AS itself, FALSE AS reversed FROM s",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

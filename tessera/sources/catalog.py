@@ -99,12 +99,23 @@ def open_star(spark: SparkSession, folder: str, names: Iterable[str] = STAR) ->
     return Catalog(spark, tables, list(KEYS), list(LINKS)).only(tables)
 
 
-def run_sql(catalog: Catalog, text: str) -> DataFrame:
-    """A query over the catalog's tables, whose names are visible to this query only."""
-    names = {t: d for t, d in catalog.tables.items()}
-    for t, d in names.items():
+def run_sql(catalog: Catalog, text: str, parameters: list | dict | None = None) -> DataFrame:
+    """A query over the catalog's tables, with ``?`` or ``:name`` parameters.
+
+    The tables' names are visible to this query only: it is analysed at once,
+    and views that had these names before are put back.
+    """
+    spark = catalog.spark
+    before = {t: spark.table(t) for t in catalog.tables if spark.catalog.tableExists(t) and any(v.name == t and v.isTemporary for v in spark.catalog.listTables())}
+    for t, d in catalog.tables.items():
         d.createOrReplaceTempView(t)
-    return catalog.spark.sql(text)
+    try:
+        return spark.sql(text, parameters) if parameters else spark.sql(text)
+    finally:
+        for t in catalog.tables:
+            spark.catalog.dropTempView(t)
+        for t, d in before.items():
+            d.createOrReplaceTempView(t)
 
 
 def with_timeout(spark: SparkSession, action: Callable[[], object], seconds: float) -> object:

@@ -5,10 +5,11 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import queries
 from tessera.functions import matching, text
-from tessera.plans import anchor, grain, ontology, planner
+from tessera.plans import anchor, grain, linker, ontology, planner
 from tessera.plans.ir import Filter, Measure, Order, Request, RequestError
 from tessera.plans.model import Column, Evidence, Join, Metric, Model
 from tessera.sources.catalog import STAR
@@ -154,6 +155,65 @@ def test_ground_request():
     assert request.measures[0].fn == "AVG" and request.group_by == (m.iri("orders", "status"),)
 
 
+def test_linker_passes():
+    m = queries._question_model()
+    got = linker.link_question("order value per priority for building", m)
+    assert [t.element for t in got.measures] == [("orders", "o_totalprice")] and got.dimensions == [("orders", "o_orderpriority")] and got.filters == {("customer", "c_mktsegment"): ["BUILDING"]}
+    ranked = linker.link_question("the lowest order value", m)
+    assert ranked.limit == 1 and not ranked.order[1] and not ranked.measures
+    m.column("nation", "n_name").samples = ("ASIA", "PERU")
+    both = linker.link_question("names in asia of zzyzx", m)
+    assert both.ambiguous[0][0] == "asia" and len(both.ambiguous[0][1]) == 2 and both.unresolved == ["zzyzx"]
+    assert any("zzyzx" in w for w in linker.warnings(both, m)) and any("ambiguous" in w for w in linker.warnings(both, m))
+    keyed = linker.link_question("show custkey of orders", m)
+    assert not keyed.projection  # keys and linking columns are never shown
+    m.column("orders", "o_totalprice").temporality = "cumulative-snapshot"
+    m.metrics = []
+    total = linker.Intent(tables=["orders"], measures=[linker.Target("measure", "orders", "o_totalprice")])
+    assert linker.to_request(total, m).measures[0].fn == "MAX" and "running total" in " ".join(linker.warnings(total, m))
+    with pytest.raises(ValueError):
+        linker.answer("qwerty", m, {})
+
+
+def test_trim_keeps_joins_and_what_was_named():
+    m = queries._question_model()
+    found = anchor.anchor("order value per priority for building customers", anchor.build_index(m))
+    anchored = linker.anchored_columns(found)
+    assert "c_mktsegment" in anchored["customer"]
+    small = linker.trim(m, ["customer"], anchored)
+    assert {c.name for c in small.classes["nation"]} <= {"n_nationkey", "n_regionkey", "n_name"} and small.column("customer", "c_mktsegment").samples
+    assert small.column("customer", "c_acctbal") is None
+
+
+def test_run_sql_leaves_no_views(spark):
+    from tessera.sources.catalog import Catalog, run_sql
+
+    spark.range(3).createOrReplaceTempView("rs_kept")
+    c = Catalog(spark, {"rs_kept": spark.range(5), "rs_own": spark.range(7)})
+    assert run_sql(c, "SELECT count(*) AS n FROM rs_kept, rs_own WHERE rs_own.id < ?", [2]).collect()[0]["n"] == 10
+    assert spark.table("rs_kept").count() == 3 and not spark.catalog.tableExists("rs_own")
+
+
+def test_composite_keys_of_wide_tables(spark):
+    """More pairs than any batch holds: the one key among 30 columns is found."""
+    from tessera.operators import profile
+    from tessera.sources.catalog import Catalog
+
+    wide = spark.range(400).select(*[((F.col("id") * (i + 3)) % 20).alias(f"c{i:02}") for i in range(28)], (F.col("id") % 20).alias("y"), F.floor(F.col("id") / 20).cast("int").alias("z"))
+    c = Catalog(spark, {"wide": wide})
+    found = [tuple(r["columns"]) for r in profile.composite_keys(c, "wide", profile.profile_table(c, "wide").collect()).collect()]
+    assert ("y", "z") in found
+
+
+def test_soft_scores_agree_with_the_plain_version(spark):
+    cases = [([(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, "d")]), ([(1, "a")], []), ([(1, None), (1, None)], [(1, None)]), ([(2, "x"), (1, "y")], [(1, "y"), (2, "x")])]
+    for gold, found in cases:
+        a, b = (spark.createDataFrame(x, "a int, b string") for x in (gold, found))
+        assert abs(matching.soft_scores(a.coalesce(1), b.coalesce(1), ordered=True).collect()[0]["f1"] - matching.soft_f1(gold, found)) < 1e-9
+    a, b = (spark.createDataFrame(x, "a int, b string") for x in cases[3])
+    assert matching.soft_scores(a, b).collect()[0]["f1"] == 1.0 and not matching.match_in_place(a.coalesce(1), b.coalesce(1))
+
+
 def test_build_and_harness(spark, tmp_path):
     from tessera.operators import harness
     from tessera.plans import build
@@ -182,3 +242,16 @@ def test_build_and_harness(spark, tmp_path):
         harness.run_system(spark, items, lambda q: ("", 0), log)
     s = matching.summarize(harness.load_log(spark, str(log))).collect()[0]
     assert (s["n"], s["strict"], s["tokens_per_correct"]) == (3, 1, 20.0)
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    assert main(["link", sf, "order value by priority"]) == 0 and "o_orderpriority" in capsys.readouterr().out
+    assert main(["link", sf, "zzyzx"]) == 1
+    assert main(["joinpath", "--tables", "region,orders", "--min-confidence", "0.5"]) == 0
+    assert main(["profile", sf, "--stage", "single"]) == 0
+    for version in (0, 1):
+        assert main(["generate", sf, "--out", str(tmp_path), "--tables", "region,nation,customer"]) == 0
+        assert spark.read.parquet(str(tmp_path / "store" / f"v={version}")).where("kind = 'class'").count() == 3
+    assert "success" in capsys.readouterr().out and (tmp_path / "ontology.trig").read_text() and spark.read.parquet(str(tmp_path / "runs")).count() == 2
