@@ -66,7 +66,7 @@ def _sort_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         if not len(rest):
             break
         key, own = _word(t, np.minimum(at[rest] + d, len(t) - 8)), group[rest]
-        order = np.lexsort((key, own)) if d else np.argsort(key, kind="stable")
+        order = np.lexsort((key, own)) if d else np.argsort(key)
         at[rest], key, own = at[rest][order], key[order], own[order]
         new = np.ones(len(rest), bool)
         new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
@@ -78,6 +78,11 @@ def _sort_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
+def _next(mark: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first marked place from each place on, the last place if there is none."""
+    return np.minimum.accumulate(np.where(mark, place, len(place) - 1)[::-1])[::-1]
+
+
 def suffix_array(text: bytes, depth: int | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of ``text`` in the order of their first ``depth`` bytes at least (all bytes: None), by two-stage sorting.
 
@@ -95,14 +100,13 @@ def suffix_array(text: bytes, depth: int | None = None, wanted: np.ndarray | Non
     step = np.zeros(n, np.int8)  # 1: the next byte is larger, -1: smaller, 0: equal; the end is smaller than any byte
     step[:-1] = np.sign(t[1:n].astype(np.int16) - t[: n - 1])
     step[-1] = -1
-    turn = np.flatnonzero(step)
-    b_type = step[turn[np.searchsorted(turn, np.arange(n))]] > 0
+    place = np.arange(n)
+    b_type = step[_next(step != 0, place)] > 0
     if wanted is None:
         need = np.ones(n, bool)
     else:  # an A suffix needs its successors up to the first of type B
-        stops = np.append(np.flatnonzero(b_type), n - 1)
         w = np.flatnonzero(wanted)
-        until = stops[np.searchsorted(stops, w)]
+        until = _next(b_type, place)[w]
         edge = -np.bincount(until + 1, minlength=n + 1)
         edge[w] += 1
         need = np.cumsum(edge)[:n] > 0
@@ -614,6 +618,24 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(o["h"].astype(np.int64)), pa.array(o["n"])], ["h", "n"])
 
 
+def _twins(c: np.ndarray, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of contexts that are equal to one of a smaller id, and which contexts are left.
+
+    A passage that many documents share is for the most part such contexts,
+    so they need not be sorted; what is left are its edges and what differs.
+    """
+    seen: dict[bytes, int] = {}
+    first = np.empty(len(c), np.int64)
+    for i, a, n in zip((order := np.argsort(c["id"], kind="stable")).tolist(), start[order].tolist(), size[order].tolist(), strict=True):
+        first[i] = seen.setdefault(data[a : a + n], i)
+    twin = c["id"] > c["id"][first]
+    out = np.empty(int(twin.sum()), SPAN)
+    for name in ("key", "more", "id"):
+        out[name] = c[name][twin]
+    out["a"], out["b"] = c["at"][twin], c["at"][twin] + size[twin]
+    return _joined(out), ~twin
+
+
 def _solve(width: int, groups: int, hot: int, most: int = 1 << 20, hold: int = 64 << 20, last_round: bool = False):
     """The suffix arrays of a bucket, whole anchors at a time; spans go home.
 
@@ -639,6 +661,9 @@ def _solve(width: int, groups: int, hot: int, most: int = 1 << 20, hold: int = 6
 
     def solved(c, data):
         start, size = _starts(c, width)
+        twins, left = _twins(c, data, start, size)
+        if len(twins):
+            c, start, size = c[left], start[left], size[left]
         order = np.argsort(c["h"], kind="stable")
         c, start, size = c[order], start[order], size[order]
         last = np.append(c["h"][1:] != c["h"][:-1], True)
@@ -649,7 +674,7 @@ def _solve(width: int, groups: int, hot: int, most: int = 1 << 20, hold: int = 6
             own = b"".join([data[a : a + s] for a, s in zip(start[low:e].tolist(), size[low:e].tolist(), strict=True)])
             spans.append(_joined(repeated_windows(c[low:e], own, width)))
             low = e
-        return np.concatenate(spans) if spans else np.zeros(0, SPAN)
+        return np.concatenate([twins, *spans])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heads, texts, size, limit, hot_here = None, [], [], 0, hold, set()
