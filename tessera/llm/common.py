@@ -150,9 +150,20 @@ def remembered(clear: Callable[[], None]) -> None:
     _forget.append(clear)
 
 
+def _lean() -> None:
+    """Arrow and numpy give large arrays back when they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library has its own way
+        pass
+
+
 def claim(name: str) -> None:
     """Called first by a task: what another operator kept in this worker goes, so stages in a row do not add up."""
-    if _owner and _owner[0] != name:
+    if not _owner:
+        _lean()
+    elif _owner[0] != name:
         for clear in _forget:
             clear()
         gc.collect()

@@ -96,7 +96,7 @@ class _Chunks(dict):
 class Labeller:
     """Scores and labels whole texts; keeps what it has scored, up to ``most`` chunks."""
 
-    def __init__(self, model: Model, penalty: float = 8.0, most: int = 400_000):
+    def __init__(self, model: Model, penalty: float = 8.0, most: int = 300_000):
         self.model, self.penalty, self.most = model, penalty, most
         self._reset()
 

@@ -113,7 +113,7 @@ class BatchEncoder:
     words stay.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 600_000, at_once: int = 20_000):
+    def __init__(self, path: str, end_id: int, most: int = 450_000, at_once: int = 10_000):
         self.tokenizer, self.end, self.most, self.at_once = Tokenizer.from_file(path), end_id, most, at_once
         added = {str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.hard = "|".join([_HARD, *map(re.escape, sorted(added))])
